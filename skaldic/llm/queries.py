@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import decontaminate, line_dedup, packing, quality, rules, simhash
 from .common import read
 
 
@@ -21,6 +21,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe())
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1")
+    return rules.judge(read(spark, sf_dir, "documents"), trusted)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "text")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,7 +47,43 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontaminate": op2_decontaminate,
     "op6_simhash": op6_simhash,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+#: Tokens of the decontamination; runs of four equal tokens find every overlap, as 13 tokens with 2 substitutions hold one.
+_OVERLAPS = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM d WHERE len(w) >= 6),
+bp AS (SELECT item_id, w, unnest(range(0, len(w) - 3)) AS p FROM b WHERE len(w) >= 6),
+dg AS (SELECT doc_id, p, w[p + 1] AS t1, w[p + 2] AS t2, w[p + 3] AS t3, w[p + 4] AS t4 FROM dp),
+bg AS (SELECT item_id, p, w[p + 1] AS t1, w[p + 2] AS t2, w[p + 3] AS t3, w[p + 4] AS t4 FROM bp),
+hits AS (SELECT DISTINCT doc_id, item_id, dg.p - bg.p AS diag FROM dg JOIN bg USING (t1, t2, t3, t4)),
+cells AS (SELECT doc_id, item_id, diag, len(b.w) AS n, unnest(range(0, len(b.w))) AS k, b.w AS bw, d.w AS dw FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+same AS (SELECT doc_id, item_id, diag, n, k, (diag + k >= 0 AND diag + k < len(dw) AND bw[k + 1] = dw[diag + k + 1])::INT AS s FROM cells),
+runs AS (SELECT doc_id, item_id, diag, n, k, sum(s) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS m FROM same),
+found AS (SELECT doc_id, item_id, diag FROM runs GROUP BY doc_id, item_id, diag, n HAVING (n >= 13 AND max(CASE WHEN k >= 12 THEN m END) >= 11) OR (n < 13 AND max(CASE WHEN k = n - 1 THEN m END) = n)),
+per AS (SELECT doc_id, count(*) AS n_overlaps, list_sort(list(DISTINCT item_id)) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_overlaps, 0) AS n_overlaps, coalesce(array_to_string(items, ','), '') AS items
+FROM documents LEFT JOIN per USING (doc_id)"""
+
+_LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+h AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM d),
+r AS (SELECT doc_id, l, list_transform(range(1, len(l)), lambda i: (h[i] * 31 + h[i + 1]) % 2147483647) AS r FROM h),
+e AS (SELECT doc_id, l, list_transform(list_filter(range(2, len(r)), lambda j: r[j] < r[j - 1] AND r[j] < r[j + 1]), lambda j: j + 1) AS e FROM r),
+c AS (SELECT doc_id, l, unnest(list_zip(list_concat([1], list_transform(e, lambda x: x + 1)), list_concat(e, [len(l)]))) AS c FROM e),
+chunks AS (SELECT doc_id, c[1] AS a, c[2] - c[1] + 1 AS lines, array_to_string(l[c[1]:c[2]], chr(10)) AS body FROM c),
+marked AS (SELECT *, (lines > 1 AND trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1) AS gone FROM chunks)
+SELECT doc_id, sum(lines)::INT AS n_lines, count(*)::INT AS n_chunks, (count(*) FILTER (gone))::INT AS n_removed_chunks, coalesce(sum(lines) FILTER (gone), 0)::INT AS n_removed_lines,
+  coalesce(string_agg(body, chr(10) ORDER BY a) FILTER (NOT gone), '') AS text
+FROM marked GROUP BY doc_id"""
+
+SQL: dict[str, str] = {
+    "op2_decontaminate": _OVERLAPS,
+    "op10_line_dedup": _LINE_DEDUP,
+}

@@ -31,23 +31,31 @@ LANE_PIVOTS, PIVOTS, CROWD = 8, 8, 48
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Bits set in over half of the XXH64 (seed 42) of the text's shingles, repeats included; no word: 0."""
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included; fewer words: of all of them; none: empty."""
     words = text.lower().split()  # of bytes: lowers A-Z only, splits at ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
+    starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     lanes = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return majority(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row; null and blank texts have fingerprint 0."""
 
@@ -129,3 +137,86 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
     known = components(links(nodes.where("rep is not null"), crowd))
     named = nodes.join(known, nodes.rep == known.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, found.fp == named.of).select("doc_id", "fp", "component_id")
+
+
+#: Min-hash blocking of one_of_each: BANDS keys of ROWS minima; at 0.8 a pair shares a key with probability 0.997.
+BANDS, ROWS = 8, 3
+#: Fingerprints of texts at similarity 0.8 differ in about 10 bits (deviation 3); pairs beyond this go unverified.
+FARTHEST = 26
+_RNG = np.random.default_rng(6)
+_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def _sketch(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, fps, keys = [], [], []
+            for text in batch.column(1).to_pylist():
+                text = text or b""
+                same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
+                h = shingles(text, shingle)
+                fps.append(majority(h))
+                if len(h):
+                    low = np.array([(h * a + b).min() for a, b in zip(_A, _B)]).reshape(BANDS, ROWS)
+                    keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(low)])
+                else:
+                    keys.append([])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "keys"])
+
+    return run
+
+
+def _jaccard(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.unique(shingles(a or b"", shingle)), np.unique(shingles(b or b"", shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= least * max(1, len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) for every row with a doc_id: texts linked at Jaccard `similarity` of their word shingles.
+
+    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates: all pairs
+    under keys of up to `crowd` nodes, pairs with the key's smallest node under larger ones. Candidates
+    whose pivot distances or fingerprints are too far apart are discarded, the others verified on the whole texts.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    found = materialize(rows.mapInArrow(_sketch(shingle), "doc_id long, same binary, fp long, keys array<long>"), "sketches")
+    nodes = materialize(found.groupBy("same").agg(F.min("doc_id").alias("rep")), "nodes")
+    heads = found.join(nodes, (found.same == nodes.same) & (found.doc_id == nodes.rep), "left_semi").dropDuplicates(["doc_id", "same"])
+    keyed = materialize(heads.select("doc_id", "fp", _pivots(F.col("fp")).alias("pv"), F.posexplode("keys").alias("band", "key")), "bands")
+    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "pv")).alias("head")).where("n > 1")
+    sizes = materialize(sizes, "sizes")
+    few = keyed.join(sizes.where(F.col("n") <= crowd).select("band", "key"), ["band", "key"], "left_semi")
+    x, y = few.alias("x"), few.alias("y")
+    near = lambda p, q: _near(p["pv"], q["pv"], FARTHEST) & (F.bit_count(p["fp"].bitwiseXOR(q["fp"])) <= FARTHEST)
+    col = lambda side: {c: F.col(f"{side}.{c}") for c in ("doc_id", "fp", "pv")}
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & near(col("x"), col("y")))
+    pairs = pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
+    many = keyed.join(sizes.where(F.col("n") > crowd).select("band", "key", "head"), ["band", "key"])
+    many = many.where(near({c: F.col(c) for c in ("fp", "pv")}, {c: F.col(f"head.{c}") for c in ("fp", "pv")})).select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v")).where("u < v")
+    pairs = materialize(pairs.unionByName(many).distinct(), "pairs")
+    texts = rows.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    texts = materialize(texts, "texts")
+    left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
+    checked = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(shingle, similarity), "u long, v long")
+    known = components(checked)
+    named = nodes.join(known, nodes.rep == known.node, "left").select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("component_id"))
+    return found.join(named, found.same == named.of).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its group.
+
+    Rows that share a doc_id are one document; rows with a null doc_id stay.
+    """
+    groups = similar_groups(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
+    gone = materialize(groups, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__later"], "left_anti")
