@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality, rules, simhash
+from . import chat, decontaminate, html_extract, langid, line_dedup, packing, quality, rules, simhash
 from .common import read
 
 
@@ -40,6 +40,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "text")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(read(spark, sf_dir, "conversations"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,7 +60,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_text": op3_html_text,
+    "op5_chat_perspectives": op5_chat_perspectives,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
@@ -83,7 +98,19 @@ SELECT doc_id, sum(lines)::INT AS n_lines, count(*)::INT AS n_chunks, (count(*)
   coalesce(string_agg(body, chr(10) ORDER BY a) FILTER (NOT gone), '') AS text
 FROM marked GROUP BY doc_id"""
 
+_PERSPECTIVES = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
+h AS (SELECT conv_id, perspective, turn, role, text, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head FROM r JOIN p USING (conv_id)),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+w AS (SELECT *, (sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, segment ROWS UNBOUNDED PRECEDING))::BIGINT AS e,
+  row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, segment) - 1 AS position FROM s)
+SELECT conv_id, perspective, position, turn, role, segment, e - length(segment) AS start, e AS "end",
+  CASE WHEN role = perspective THEN e - length(segment) + length(head) ELSE e END AS loss_start, CASE WHEN role = perspective THEN e - 1 ELSE e END AS loss_end
+FROM w"""
+
 SQL: dict[str, str] = {
+    "op5_chat_perspectives": _PERSPECTIVES,
     "op2_decontaminate": _OVERLAPS,
     "op10_line_dedup": _LINE_DEDUP,
 }
