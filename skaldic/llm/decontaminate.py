@@ -29,7 +29,7 @@ def tokens(text: Column) -> Column:
 
 def _seeds(df: DataFrame, words: str, keep: list[str]) -> DataFrame:
     """A row (keep..., pos, hash) for each position and mask; pos counts from 0."""
-    at = df.select(*keep, F.posexplode(F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(shifted(F.col(words), SPAN))])).alias("pos", "t"))
+    at = df.select(*keep, F.posexplode_outer(F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(shifted(F.col(words), SPAN))])).alias("pos", "t"))
     at = at.where(F.col(f"t.t{SEED - 1}").isNotNull())
     hashes = [F.xxhash64(F.lit(m), *[F.col(f"t.t{i}") for i, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
     return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("hash"))
@@ -42,7 +42,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where((F.size("item") >= SEED) & F.col("item_id").isNotNull()).distinct()
     items = materialize(items, "items")
     seeds = materialize(_seeds(items, "item", ["item_id"]).select(F.col("item_id"), F.col("pos").alias("ipos"), F.col("hash").alias("seed")).distinct(), "seeds")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words")).where(F.size("words") >= SEED)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
     small = seeds.count() <= BROADCAST_SEEDS
     at = (F.col("pos") - F.col("ipos")).alias("at")
     segment = F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.size("item") + F.least(F.col("at"), F.lit(0)), F.lit(0))).alias("segment")

@@ -43,7 +43,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(__doc, __text, __gone): for each row that loses chunks, the first lines of those chunks."""
-    rows = with_chunks(_keyed(docs.select("doc_id", "text"))).select("__doc", "__text", F.explode("__chunks").alias("c")).select("__doc", "__text", "c.*")
+    # explode_outer: for explode, the optimizer would filter on a copy of the whole chunk expression
+    rows = with_chunks(_keyed(docs.select("doc_id", "text"))).select("__doc", "__text", F.explode_outer("__chunks").alias("c")).select("__doc", "__text", "c.*")
     rows = rows.where((F.col("lines") > 1) & (F.btrim("body", F.lit(" \t\n\x0b\x0c\r")) != ""))
     hashed = rows.withColumn("k", F.xxhash64("body"))
     often = hashed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, shifted, words_fast
 
 BUCKETS = 10_000
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 REPEAT = 8
 #: At most so many trusted documents (those with the smallest hash of doc_id) make the trusted counts.
 TRUSTED = 20_000
@@ -35,7 +35,7 @@ def _pairs(words: Column) -> Column:
 
 def bucket_counts(docs: DataFrame) -> dict[int, int]:
     """N-grams of all rows by bucket: at most BUCKETS counts reach the driver."""
-    pairs = docs.select(words_fast(F.col("text")).alias("words")).select(F.explode(_pairs(F.col("words"))).alias("p"))
+    pairs = docs.select(words_fast(F.col("text")).alias("words")).select(F.explode_outer(_pairs(F.col("words"))).alias("p")).where("p is not null")
     grams = pairs.select(F.explode(F.array(*_buckets(F.col("p")))).alias("bucket")).where("bucket is not null")
     return {r.bucket: r.n for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -57,7 +57,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     Null text counts as no words; repeated rows and a null doc_id are ordinary rows; no trusted document means
     that only the base rules decide; an empty table gives an empty result. Other columns are ignored.
     """
-    table = F.expr("array(" + ",".join(f"{w}L" for w in weights(docs, trusted)) + ")")
+    table = F.split(F.lit(",".join(map(str, weights(docs, trusted)))), ",").cast("array<bigint>")  # folded to one literal
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("text")).withColumn("words", words_fast(F.col("text")))
     n = F.size("words")
@@ -65,8 +65,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     windows = F.transform(F.arrays_zip(*[x.alias(str(k)) for k, x in enumerate(shifted(F.col("words"), REPEAT))]), lambda s: F.xxhash64(s))
     df = df.select(
         "doc_id", "words", n.cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         some.alias("lines"), F.when(n >= REPEAT, F.slice(windows, F.lit(1), n - (REPEAT - 1))).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
     ratio = F.aggregate(_pairs(F.col("words")), F.lit(0).cast("long"), lambda a, p: a + F.get(table, _buckets(p)[0].cast("int")) + F.coalesce(F.get(table, _buckets(p)[1].cast("int")), F.lit(0)))
