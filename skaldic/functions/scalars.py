@@ -34,6 +34,11 @@ MARKER = r"^\s*([\[\(]?[0-9]+[\]\.\)]?|[IVXLCDMivxlcdm]+[\]\.\)]?)(?:\s+|$)"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"))
+
+
 def _stripped() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and what is left of them without."""
     found = {}
@@ -47,7 +52,7 @@ def _stripped() -> tuple[str, str]:
 def normalize_old_english(c: Column) -> Column:
     """Key of a word: trimmed, lower case, ð as þ, without marks and without dashes between letters. Null stays null."""
     marked, bare = _stripped()
-    plain = F.regexp_replace(F.translate(F.lower(F.trim(c)), marked + "ð", bare + "þ"), "\\p{Mn}", "")
+    plain = F.regexp_replace(F.translate(F.lower(strip(c)), marked + "ð", bare + "þ"), "\\p{Mn}", "")
     return F.regexp_replace(plain, "(?<=\\S)[-–—](?=\\S)", "")
 
 
@@ -159,37 +164,37 @@ def marker_number(m: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Roman number, capitals only, chapter word or year."""
-    t = F.trim(line)
+    t = strip(line)
     return (t != "") & (t.rlike("^[IVXLCDM]+\\.?(\\s+|$)") | t.rlike("^[A-ZÆÞÐ\\s\\-]{3,}\\.?\\z") | t.rlike("^(Cap\\.|CAP\\.|Chapter\\b|CHAPTER\\b)") | t.rlike("^(?:A\\.D\\.|AD)\\s*\\d{3,4}\\b") | t.rlike("^Her\\s+\\d{3,4}\\b"))
 
 
 def is_heading_line(line: Column) -> Column:
     """The line splitter's rule: any three characters without lower case and digits count as capitals."""
-    t = F.trim(line)
+    t = strip(line)
     caps = (F.length(t) >= 3) & (F.upper(t) == t) & ~t.rlike("[0-9]")
     return (t != "") & (t.rlike("^[IVXLCDM]+\\.?(\\s+|$)") | caps | t.rlike("^(Cap\\.|CAP\\.|Chapter\\b|CHAPTER\\b)") | t.rlike("^(?:A\\.D\\.|AD)\\s*\\d{3,4}\\b") | t.rlike("^Her\\s+\\d{3,4}\\b"))
 
 
 def is_number_line(line: Column) -> Column:
-    return F.trim(line).rlike("^[\\[(]?\\d+[\\])\\.]?\\z")
+    return strip(line).rlike("^[\\[(]?\\d+[\\])\\.]?\\z")
 
 
 def is_verse_line(line: Column, longest: int = 80) -> Column:
-    t = F.trim(line)
+    t = strip(line)
     short = line.startswith("    ") | (F.length(t) < 20)
     return (t != "") & ~is_heading_line(line) & ~is_number_line(line) & (F.length(t) <= longest) & (short | ~(t.endswith(".") & ~t.contains("  ")))
 
 
 def block_kind(text: Column) -> Column:
     """verse for two lines or more of 60 characters or fewer on average, of which under four fifths end in a stop."""
-    lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: strip(x)), lambda x: x != "")
     total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     stops = F.size(F.filter(lines, lambda x: x.endswith(".")))
     return F.when((F.size(lines) >= 2) & (total <= 60 * F.size(lines)) & (stops < 0.8 * F.size(lines)), "verse").otherwise("prose")
 
 
 def heading_number(t: Column) -> Column:
-    t = F.trim(t)
+    t = strip(t)
     year = F.regexp_extract(t, "^(?:A\\.D\\.|AD)\\s*(\\d{3,4})\\b", 1)
     her = F.regexp_extract(t, "^Her\\s+(\\d{3,4})\\b", 1)
     roman = F.regexp_extract(t, "^([IVXLCDM]+)(?:\\.?\\s+.*|\\.?)$", 1)
@@ -198,19 +203,19 @@ def heading_number(t: Column) -> Column:
 
 
 def heading_title(t: Column) -> Column:
-    t = F.trim(t)
+    t = strip(t)
     after = F.regexp_extract(t, "^([IVXLCDM]+)\\.?\\s+(.*)$", 2)
     cap = F.regexp_extract(t, "^Cap\\.\\s*([IVXLCDM]+|\\d+)\\b\\s*(.*)$", 2)
     return (
         F.when(t.rlike("^(?:A\\.D\\.|AD)\\s*\\d{3,4}\\b|^Her\\s+\\d{3,4}\\b"), F.lit(None))
-        .when(t.rlike("^[IVXLCDM]+\\.?\\s+"), F.trim(after)).when(t.rlike("^[IVXLCDM]+\\.?\\z"), F.lit(None))
+        .when(t.rlike("^[IVXLCDM]+\\.?\\s+"), strip(after)).when(t.rlike("^[IVXLCDM]+\\.?\\z"), F.lit(None))
         .when(t.rlike("^Cap\\.\\s*([IVXLCDM]+|\\d+)\\b"), F.nullif(cap, F.lit(""))).otherwise(F.regexp_replace(t, "\\.+$", ""))
     )
 
 
 def speaker(text: Column) -> Column:
     """The speaker a block's first line with text names: `Name cwæð ...` or `Name:` alone."""
-    first = F.get(F.filter(F.split(text, LINE_END), lambda x: F.trim(x) != ""), F.lit(0))
+    first = F.get(F.filter(F.split(text, LINE_END), lambda x: strip(x) != ""), F.lit(0))
     said = F.regexp_extract(first, "(?iu)^\\s*([A-ZÆÞÐ][A-Za-zÆÞÐæþð\\-]+)\\s+(?:(?:and)?cwæ[ðþ]|andswarode|sæde|sprec)(?U:\\b)", 1)
     alone = F.regexp_extract(first, "^\\s*([A-ZÆÞÐ][A-Za-zÆÞÐæþð\\-]+)\\s*:\\s*$", 1)
     return F.coalesce(F.nullif(said, F.lit("")), F.nullif(alone, F.lit("")))
@@ -218,12 +223,12 @@ def speaker(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts that end in . ? or ! (with a closing quote or bracket) before white space; terminators stay."""
-    parts = F.split(F.trim(text), "(?<=[.?!])\\s+|(?<=[.?!][\"')])\\s+")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.split(strip(text), "(?<=[.?!])\\s+|(?<=[.?!][\"')])\\s+")
+    return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "(?U)\\s+", " "))
+    return strip(F.regexp_replace(c, "(?U)\\s+", " "))
 
 
 def degeminate(c: Column) -> Column:

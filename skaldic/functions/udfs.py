@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Vowels, diphthongs, word-initial clusters, suffixes that open a syllable.
 DIPHTHONGS = "ēa ēo īo ea eo io".split()
@@ -52,7 +53,7 @@ def syllables(word: str) -> list[dict[str, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<onset:string,nucleus:string,coda:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("onset", "nucleus", "coda")])))
 def syllabify(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else syllables(w))
 
@@ -82,6 +83,6 @@ def tolerant_json(raw: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else tolerant_json(t))

@@ -78,6 +78,15 @@ def stem_builder(name: str, stem: Column) -> Column:
     return made[name]()
 
 
+def _inflect(endings: Column):
+    """A function of a stem and its place: the stem with every ending."""
+
+    def run(s: Column, i: Column) -> Column:
+        return F.transform(endings, lambda e: F.struct(e["step"].alias("step"), i.alias("stem_ord"), e["ord"].alias("ord"), e["function"].alias("function"), e["ending"].alias("ending"), s.alias("s")))
+
+    return run
+
+
 def with_reduced(forms: DataFrame) -> DataFrame:
     """Add formi, the plain form, and a second row with probability + 1 where a doubled consonant can be written once."""
     forms = forms.withColumn("formi", S.normalize_output(F.col("form")))
@@ -114,7 +123,7 @@ def noun_forms(words: DataFrame, compat: bool = True) -> DataFrame:
         for k, step in enumerate(table.split("|")):
             builder, ends = step.split(": ")
             ending = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(j).alias("ord"), F.lit(e.split()[0]).alias("function"), F.lit(e.split()[1]).alias("ending")) for j, e in enumerate(ends.split(", "))])
-            steps.append(F.flatten(F.transform(stem_builder(builder, F.col("stem")), lambda s, i, ending=ending: F.transform(ending, lambda e: F.struct(e["step"].alias("step"), i.alias("stem_ord"), e["ord"].alias("ord"), e["function"].alias("function"), e["ending"].alias("ending"), s.alias("s"))))))
+            steps.append(F.flatten(F.transform(stem_builder(builder, F.col("stem")), _inflect(ending))))
         found = F.when(F.col("table").contains(name), F.concat(*steps))
         out = found if out is None else out.when(F.col("table").contains(name), F.concat(*steps))
     rows = rows.select("nid", "title", "stem", "prefix", "wright", "para_ord", "copy", "paradigm", F.when(F.col("table").isin(*WEAK), "weak").otherwise("strong").alias("class1"), F.explode(out).alias("e")).select("*", "e.*").drop("e")

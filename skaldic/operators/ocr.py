@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -20,7 +21,7 @@ def clean(pages: DataFrame, rules: list[tuple[str, str]] = SAFE_RULES) -> DataFr
 
 def join_pages(pages: DataFrame, key: str, order: str = "path") -> DataFrame:
     """One text for each key: pages that aren't blank, by path, with a blank line between."""
-    rows = pages.where(F.trim("text") != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("ps"))
+    rows = pages.where(S.strip(F.col("text")) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("ps"))
     return rows.select(key, F.array_join(F.transform("ps", lambda p: p["text"]), "\n\n").alias("text"))
 
 
@@ -42,7 +43,7 @@ def _distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def word_distance(expected: pd.Series, observed: pd.Series) -> pd.Series:
     """Edit distance over words."""
     return pd.Series([None if a is None or b is None else _distance(a.split(), b.split()) for a, b in zip(expected, observed)], dtype="Int32")
@@ -71,12 +72,22 @@ def _align(a: str, b: str) -> list[tuple[str, str]]:
     return out[::-1]
 
 
-@F.pandas_udf("expected array<string>, observed array<string>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("expected", "observed")]))
 def alignment(expected: pd.Series, observed: pd.Series) -> pd.DataFrame:
     pairs = [_align(a or "", b or "") for a, b in zip(expected, observed)]
     return pd.DataFrame({"expected": [[x for x, _ in p] for p in pairs], "observed": [[y for _, y in p] for p in pairs]})
 
 
+def _of(letters: str, kept: str = ""):
+    """A test of an aligned pair: the expected letter is one of these and, if asked, the observed one too or the same."""
+
+    def test(p: Column) -> Column:
+        one = lambda c: (c != "") & F.lit(letters).contains(c)
+        return one(p["x"]) & (p["x"] == p["y"] if kept == "same" else one(p["y"]) if kept else F.lit(True))
+
+    return test
+
+
 def scores(pairs: DataFrame) -> DataFrame:
     """Error rates and letter recalls of (expected, observed) texts, other columns kept."""
     df = pairs.withColumn("e", S.page_text(F.col("expected"))).withColumn("o", S.page_text(F.col("observed"))).withColumn("al", alignment("e", "o"))
@@ -87,14 +98,12 @@ def scores(pairs: DataFrame) -> DataFrame:
     pairs_ = F.arrays_zip(F.col("al.expected").alias("x"), F.col("al.observed").alias("y"))
     count = lambda test: F.size(F.filter(pairs_, test))
     for name, letters in LETTERS.items():
-        of = lambda c, letters=letters: (c != "") & F.lit(letters).contains(c)
-        same = (lambda p, of=of: of(p["x"]) & (p["x"] == p["y"])) if name == "macron" else (lambda p, of=of: of(p["x"]) & of(p["y"]))
-        df = df.withColumn(f"{name}_expected", count(lambda p, of=of: of(p["x"]))).withColumn(f"{name}_preserved", count(same))
+        df = df.withColumn(f"{name}_expected", count(_of(letters))).withColumn(f"{name}_preserved", count(_of(letters, "same" if name == "macron" else "any")))
         df = df.withColumn(f"{name}_recall", ratio(F.col(f"{name}_preserved"), F.col(f"{name}_expected"), 1.0))
         if name in ("thorn_letter", "eth", "ae"):
             seen = F.length("o") - F.length(F.translate("o", letters, ""))
             df = df.withColumn(f"{name}_observed", seen).withColumn(f"{name}_precision", F.when(seen > 0, F.col(f"{name}_preserved") / seen).otherwise(F.when(F.col(f"{name}_expected") == 0, 1.0).otherwise(0.0)))
-    to_p = count(lambda p: F.lit(LETTERS["thorn"]).contains(p["x"]) & (p["x"] != "") & p["y"].isin("p", "P"))
+    to_p = count(lambda p: _of(LETTERS["thorn"])(p) & p["y"].isin("p", "P"))
     return df.withColumn("thorn_to_p_rate", ratio(to_p, F.col("thorn_expected"), 0.0)).drop("e", "o", "al")
 
 

@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scalars as S
+from ..functions import udfs
+from ..operators import diacritics, ingest, morphology, ocr
+from ..sources import tei
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +41,314 @@ def unknown_token_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = lambda table: read(spark, sf_dir, table).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
     counts = tokens("documents").where(F.length("token") > 2).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(tokens("benchmark").distinct(), "token", "left_anti")
+
+
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233)"
+LINES = f"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents WHERE text IS NOT NULL), t AS (SELECT *, trim(line, {WS}) AS t FROM l)"
+NUMBER = r"regexp_full_match(t, '[\[(]?\d+[\])\.]?')"
+HEADING = r"(t <> '' AND (regexp_matches(t, '^[IVXLCDM]+\.?(\s+|$)') OR (length(t) >= 3 AND upper(t) = t AND NOT regexp_matches(t, '[0-9]')) OR regexp_matches(t, '^(Cap\.|CAP\.|Chapter\b|CHAPTER\b)') OR regexp_matches(t, '^(?:A\.D\.|AD)\s*\d{3,4}\b') OR regexp_matches(t, '^Her\s+\d{3,4}\b')))"
+VERSE = f"(length(t) <= 80 AND (starts_with(line, '    ') OR length(t) < 20 OR NOT (ends_with(t, '.') AND NOT contains(t, '  '))))"
+WORDS = r"unnest(regexp_extract_all(line, '\p{L}+(?:[-–—]\p{L}+)*')) AS word, generate_subscripts(regexp_extract_all(line, '\p{L}+(?:[-–—]\p{L}+)*'), 1) AS word_number"
+KEY = r"regexp_replace(strip_accents(replace(lower(word), 'ð', 'þ')), '[-–—]', '', 'g')"
+VOWELS, CONSONANTS = S.VOWEL, S.CONSONANT
+
+
+def _lines(spark, sf_dir):
+    return ingest.lines(read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_number, CASE WHEN t = '' THEN 'blank' WHEN {HEADING} THEN 'heading' WHEN {NUMBER} THEN 'number' WHEN {VERSE} THEN 'verse' ELSE 'prose' END AS line_class FROM t")
+def line_classes(spark, sf_dir):
+    """First-match classification of every line."""
+    return ingest.classify_lines(_lines(spark, sf_dir)).select("doc_id", "line_number", "line_class")
+
+
+@query(f"WITH {LINES}, w AS (SELECT doc_id, line_number, {WORDS} FROM t) SELECT doc_id, line_number, word_number, word FROM w")
+def token_positions(spark, sf_dir):
+    """Lexical tokens with line and word numbers from 1."""
+    return diacritics.tokens(read(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS fresh FROM conversations),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)
+SELECT conv_id, run::BIGINT AS run, min(role) AS role, min(turn) AS first_turn, count(*) AS turns FROM r GROUP BY conv_id, run""")
+def speaker_runs(spark, sf_dir):
+    """Runs of turns by one speaker."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, sf_dir, "conversations").withColumn("fresh", (~F.col("role").eqNullSafe(F.lag("role").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    rows = rows.withColumn("run", F.sum("fresh").over(w))
+    return rows.groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events QUALIFY carried IS NOT NULL")
+def carry_forward(spark, sf_dir):
+    """The last heading-like event so far, carried to each event of a user."""
+    rows = read(spark, sf_dir, "events").withColumn("head", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return ingest.gap_fill(rows, "user_id", "event_id", "head").select("event_id", "carried").where("carried is not null")
+
+
+@query(rf"""WITH s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(trim(text, {WS}), '([.?!]["'')]?)\s+', '\1' || chr(1), 'g'), chr(1))), {WS}) AS s FROM documents)
+SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_chars FROM s WHERE s <> '' GROUP BY doc_id""")
+def sentence_counts(spark, sf_dir):
+    """Sentences of every document."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(S.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
+
+
+_INDEX = f"{LINES}, w AS (SELECT doc_id, line_number, {WORDS} FROM t), k AS (SELECT doc_id, {KEY} AS key, lower(word) AS form FROM w), i AS (SELECT key, list_sort(list(DISTINCT form)) AS forms FROM k WHERE doc_id % 2 = 0 GROUP BY key)"
+
+
+def _index(spark, sf_dir):
+    known = diacritics.tokens(read(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(2)) == 0))
+    return diacritics.build_index(known.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")))
+
+
+@query(f"WITH {_INDEX} SELECT key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i")
+def spelling_index(spark, sf_dir):
+    """Key to spellings over one of the two volumes (even documents) that the look-up below is tested against."""
+    return _index(spark, sf_dir).withColumn("forms", F.array_join("forms", ","))
+
+
+@query(f"""WITH {_INDEX} SELECT doc_id, count(*) AS tokens, count(*) FILTER (len(forms) = 1) AS restored, count(*) FILTER (len(forms) > 1) AS ambiguous, count(*) FILTER (forms IS NULL) AS unknown
+FROM k LEFT JOIN i USING (key) GROUP BY doc_id""")
+def index_lookup(spark, sf_dir):
+    """Tokens of every document against the index: ambiguous wins over unique, a miss is unknown."""
+    found = diacritics.look_up(diacritics.tokens(read(spark, sf_dir, "documents")), _index(spark, sf_dir))
+    many = F.col("options").isNotNull()
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(~many & ~F.col("is_unknown")).alias("restored"), F.count_if(many).alias("ambiguous"), F.count_if("is_unknown").alias("unknown"))
+
+
+@query()
+def restored_texts(spark, sf_dir):
+    """Every text with diacritics restored; checked by tests, as the rules need lookbehind."""
+    return diacritics.restore(read(spark, sf_dir, "documents"), _index(spark, sf_dir))
+
+
+@query(f"""WITH {_INDEX}, added AS (SELECT key, max(form) AS form FROM (SELECT DISTINCT {KEY} AS key, lower(word) AS form FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word FROM benchmark)) GROUP BY key),
+ok AS (SELECT a.* FROM added a LEFT JOIN i USING (key) WHERE i.key IS NULL OR len(i.forms) = 1)
+SELECT key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i WHERE key NOT IN (SELECT key FROM ok) UNION ALL SELECT key, form, false FROM ok""")
+def index_add(spark, sf_dir):
+    """Forms of the benchmark added with force: ambiguous keys stay as they are."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))).alias("word"))
+    added = words.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")).distinct()
+    return diacritics.add_forms(_index(spark, sf_dir), added, force=True).withColumn("forms", F.array_join("forms", ","))
+
+
+@query(f"WITH {_INDEX} SELECT key FROM i WHERE len(forms) > 1 AND key NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)")
+def unresolved_keys(spark, sf_dir):
+    """Ambiguous keys without the completed ones."""
+    done = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("key")).distinct()
+    return diacritics.unresolved(_index(spark, sf_dir), done)
+
+
+@query("SELECT p_brand, p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS order_index FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) = 1)")
+def keep_first(spark, sf_dir):
+    """The first part of each brand and type, numbered anew."""
+    return diacritics.keep_first(read(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_partkey").select("p_brand", "p_partkey", "p_name", "order_index")
+
+
+@query("SELECT p_type, count(*) AS n, min(p_partkey) AS first_seen, row_number() OVER (ORDER BY count(*) DESC, min(p_partkey)) AS place FROM part GROUP BY p_type")
+def most_common(spark, sf_dir):
+    """Frequency order, ties by first occurrence."""
+    rows = read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_seen"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")))
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, {'a': o_orderstatus <> 'F', 'b': o_totalprice, 'c': o_orderkey}) AS candidate FROM orders GROUP BY o_custkey")
+def best_candidate(spark, sf_dir):
+    """Min-by over a pass flag, then a cost."""
+    rows = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("candidate"), (F.col("o_orderstatus") == "F").alias("quality_pass"), F.lit(0).alias("failed"), F.col("o_totalprice").alias("mean_s"))
+    return ocr.best(rows, ["o_custkey"])
+
+
+@query("SELECT d.source, d.lang, coalesce(min(l.quality), -1) AS confidence, count(l.quality) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL")
+def minimum_rollup(spark, sf_dir):
+    """The least value that is not null."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("source", "lang").agg(F.coalesce(F.min("quality"), F.lit(-1)).alias("confidence"), F.count("quality").alias("n"))
+
+
+@query("""WITH o(lang, max_cer) AS (VALUES ('fr', 0.5), ('de', 0.02)), r AS (SELECT doc_id, lang, (n_chars % 100) / 100.0 AS cer FROM documents)
+SELECT doc_id, cer <= coalesce(max_cer, 0.1) AS quality_pass FROM r LEFT JOIN o USING (lang)""")
+def quality_gate(spark, sf_dir):
+    """Limits of a group over the default limits."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", ((F.col("n_chars") % 100) / 100.0).alias("cer"), *[F.lit(v).alias(c) for c, v in (("wer", 0.0), ("thorn_recall", 1.0), ("thorn_to_p_rate", 0.0), ("macron_recall", 1.0))])
+    limits = spark.createDataFrame([("fr", 0.5, None, None, None, None), ("de", 0.02, None, None, None, None)], "lang string, max_cer double, max_wer double, min_thorn_recall double, max_thorn_to_p_rate double, min_macron_recall double")
+    return ocr.gate(rows, limits, "lang", {"max_cer": 0.1, "max_wer": 0.5, "min_thorn_recall": 0.2, "max_thorn_to_p_rate": 0.5, "min_macron_recall": 0.2}).select("doc_id", "quality_pass")
+
+
+@query("SELECT a.p_partkey, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def edit_distance(spark, sf_dir):
+    """Character edit distance of neighbouring names (ASCII)."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return part.join(after, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").cast("long").alias("distance"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(text, 'ſ', 's'), '(?m)^\s*S\s*(\d{1,3})\.\s*', '§ \1. ', 'g'), '(?m)^\s*5\s*(\d{1,3})\.\s*', '§ \1. ', 'g'),
+  chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents""")
+def ordered_rules(spark, sf_dir):
+    """Ordered substitutions, each on the result of the one before."""
+    return ocr.clean(read(spark, sf_dir, "documents")).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?is)<pre[^>]*>(.*?)</pre>', 1))::INT AS n_pre FROM pages")
+def page_titles(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("(?is)<pre[^>]*>(.*?)</pre>"), F.lit(1))).alias("n_pre"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, json_valid(props) AS is_json FROM events")
+def event_fields(spark, sf_dir):
+    """A field out of JSON text."""
+    key = F.json_object_keys("props")[0]
+    value = F.element_at(F.from_json("props", "map<string,string>"), key)
+    return read(spark, sf_dir, "events").select("event_id", value.alias("first_value"), F.json_object_keys("props").isNotNull().alias("is_json"))
+
+
+@query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS xs, avg(value) AS m, stddev_pop(value) AS d, median(value) AS md FROM events WHERE value IS NOT NULL GROUP BY event_type)
+SELECT event_type, len(xs)::BIGINT AS n, round(m, 4) AS mean_s, round(md, 4) AS median_s, round(d, 4) AS stdev_s, xs[floor(0.95 * (len(xs) - 1))::INT + 1] AS p95_s, round(CASE WHEN m > 0 THEN 60 / m ELSE 0 END, 4) AS pages_per_min FROM s""")
+def latency_stats(spark, sf_dir):
+    """Mean, median, floor-index p95 and deviation by group."""
+    out = ocr.latencies(read(spark, sf_dir, "events").where("value is not null"), ["event_type"], "value")
+    return out.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("mean_s", "median_s", "stdev_s")], "p95_s", F.round("pages_per_min", 4).alias("pages_per_min"))
+
+
+_WORDS = "w AS (SELECT p_partkey AS nid, lower(regexp_extract(p_name, '([A-Za-z]+)$', 1)) AS stem FROM part)"
+
+
+def _words(spark, sf_dir):
+    stem = F.lower(F.regexp_extract("p_name", "([A-Za-z]+)$", 1))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), stem.alias("title"), stem.alias("stem"), F.lit("0").alias("prefix"), F.lit("").alias("wright"))
+
+
+_DOUBLE = "[bcdfghjklmnpqrstvwxz]"
+_REDUCED = "regexp_replace(" * 20 + "formi" + "".join(f", '{c}{c}', '{c}', 'g')" for c in "bcdfghjklmnpqrstvwxz")
+_ENDS = ", ".join(f"({k}, '{e.split()[0]}', '{e.split()[1]}')" for k, e in enumerate(morphology.NOUN_ENDINGS["hand"].split(": ")[1].split(", ")))
+
+
+@query(f"""WITH {_WORDS}, e(ord, function, ending) AS (VALUES {_ENDS}),
+f AS (SELECT nid, ord, function, stem || CASE ending WHEN '0' THEN '' ELSE ending END AS form FROM w, e WHERE stem <> ''), g AS (SELECT *, regexp_replace(form, 'y|ie?', 'i', 'g') AS formi FROM f)
+SELECT nid, ord, function, form, formi, 0 AS dup, '' AS probability FROM g UNION ALL SELECT nid, ord, function, form, {_REDUCED}, 1, '1' FROM g WHERE {_REDUCED} <> formi""")
+def noun_forms(spark, sf_dir):
+    """Words x ending table, with the reduced second row."""
+    words = _words(spark, sf_dir).withColumn("paradigms", F.array(F.lit("hand")))
+    return morphology.noun_forms(words).select("nid", "ord", "function", "form", "formi", "dup", "probability")
+
+
+_ADVERB = ", ".join(f"({k}, '{f}', '{'' if e == '0' else e}', '{p}', {int(c)})" for k, (f, e, p, c) in enumerate(morphology.ADVERB))
+
+
+@query(f"""WITH {_WORDS}, e(ord, function, ending, probability, cut) AS (VALUES {_ADVERB})
+SELECT nid, ord, function, CASE cut WHEN 1 THEN regexp_replace(stem, 'e$', '') ELSE stem END || ending AS form, probability FROM w, e""")
+def adverb_forms(spark, sf_dir):
+    return morphology.adverb_forms(_words(spark, sf_dir)).where("dup = 0").select("nid", "ord", "function", "form", "probability")
+
+
+@query(f"""WITH {_WORDS}, s0 AS (SELECT nid, stem || 'dst' AS f FROM w), s1 AS (SELECT nid, f, replace(f, 'dst', 'tst') AS a FROM s0), s2 AS (SELECT nid, f, a, replace(a, 'tst', 'st') AS b FROM s1)
+SELECT nid, 0 AS change, f AS form FROM s2 UNION ALL SELECT nid, 1, a FROM s2 UNION ALL SELECT nid, 2, b FROM s2""")
+def sound_changes(spark, sf_dir):
+    """Ordered, cumulative second person changes; each that fires makes a row."""
+    forms = _words(spark, sf_dir).select("nid", F.lit("PsInSg2").alias("function"), F.concat("stem", F.lit("dst")).alias("form"))
+    return morphology.sound_changes(forms).select("nid", "change", "form").where("change < 3")
+
+
+@query(f"WITH {_WORDS} SELECT nid, CASE WHEN regexp_matches(stem, '(sum|lic|isc)$') THEN 'til' WHEN regexp_matches(stem, '(cund|feald|full|iht)$') THEN 'blind' WHEN regexp_matches(stem, '(ihte|ede|wende)$') THEN 'wilde' END AS paradigm FROM w WHERE paradigm IS NOT NULL")
+def adjective_suffixes(spark, sf_dir):
+    """Adjective labels that the suffix decides."""
+    return morphology.adjective_paradigms(_words(spark, sf_dir)).where(F.col("stem").rlike("(sum|lic|isc|cund|feald|full|iht|ihte|ede|wende)$")).select("nid", "paradigm")
+
+
+@query(f"""WITH {_WORDS}, r AS (SELECT nid, stem, regexp_extract(stem, '^[^aeiouy]*([aeiouy][aeiouy]?)([^aeiouy]*)(.*)$', ['v', 'c', 'r']) AS x FROM w)
+SELECT nid, (len(regexp_extract_all(stem, '{VOWELS}{CONSONANTS}')) + len(regexp_extract_all(stem, '{VOWELS}$')))::INT AS syllables,
+  CASE WHEN x.v = '' THEN 0 WHEN length(replace(replace(x.c, 'sc', 's'), 'cg', 'c')) > 1 OR (x.r = '' AND x.c <> '') THEN 1 ELSE 0 END AS long_stem FROM r""")
+def stem_shapes(spark, sf_dir):
+    """Syllables and stem length."""
+    return _words(spark, sf_dir).select("nid", S.syllable_count(F.col("stem")).alias("syllables"), S.stem_length(F.col("stem")).alias("long_stem"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT doc_id, line_number, line, regexp_extract(line, '^\\s*([\\[\\(]?[0-9]+[\\]\\.\\)]?|[IVXLCDMivxlcdm]+[\\]\\.\\)]?)(?:\\s+|$)', 1) AS m FROM t)
+SELECT doc_id, line_number, trim(m, '[]().') AS marker FROM m WHERE m <> ''""")
+def line_markers(spark, sf_dir):
+    """Numbers that lines start with, also words that look Roman."""
+    return _lines(spark, sf_dir).select("doc_id", "line_number", S.marker(F.col("line")).alias("marker")).where("marker is not null")
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), r AS (SELECT w, list_filter(list_transform(string_split(w, ''), lambda x: CASE x WHEN 'm' THEN 1000 WHEN 'd' THEN 500 WHEN 'c' THEN 100 WHEN 'l' THEN 50 WHEN 'x' THEN 10 WHEN 'v' THEN 5 WHEN 'i' THEN 1 END), lambda x: x IS NOT NULL) AS n FROM w)
+SELECT w AS word, coalesce(list_sum(list_transform(range(1, len(n) + 1), lambda k: CASE WHEN k = len(n) OR n[k] >= n[k + 1] THEN n[k] ELSE -n[k] END)), 0)::INT AS value FROM r""")
+def roman_values(spark, sf_dir):
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).distinct()
+    return words.select("word", S.roman_value(F.col("word")).alias("value"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, count(*) AS n, sum(length(t)) AS s, count(*) FILTER (ends_with(t, '.')) AS stops FROM t WHERE t <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n >= 2 AND s <= 60 * n AND stops < 0.8 * n THEN 'verse' ELSE 'prose' END AS kind FROM k""")
+def block_kinds(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.where(S.strip(F.col("text")) != "").select("doc_id", S.block_kind(F.col("text")).alias("kind"))
+
+
+@query("SELECT lang, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+def ordered_digest(spark, sf_dir):
+    """sha256 over ordered rows of a group."""
+    rows = read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rs"), F.count(F.lit(1)).alias("n"))
+    return rows.select("lang", F.sha2(F.array_join(F.transform("rs", lambda r: F.concat_ws(":", r["doc_id"], r["n_chars"])), "\n"), 256).alias("digest"), "n")
+
+
+@query("SELECT CASE WHEN role = 'system' THEN 1 WHEN role = 'user' THEN 2 ELSE 3 END AS stage, count(*) AS n FROM conversations GROUP BY 1")
+def stage_counts(spark, sf_dir):
+    """Rows by stage of a concatenation."""
+    rows = read(spark, sf_dir, "conversations").withColumn("stage", F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def section_rows(spark, sf_dir):
+    """Lines to blocks to sections: splits, heading carry, speaker and kind islands."""
+    blocks = ingest.runs(ingest.classify_lines(_lines(spark, sf_dir)))
+    return ingest.sections(blocks.drop("is_heading"))
+
+
+@query()
+def sentence_rows(spark, sf_dir):
+    return ingest.sentence_rows(section_rows(spark, sf_dir))
+
+
+@query()
+def verse_rows(spark, sf_dir):
+    return ingest.verse_rows(section_rows(spark, sf_dir))
+
+
+@query()
+def oe_blocks(spark, sf_dir):
+    """Blocks that the Old English filter keeps."""
+    return ingest.oe_filter(ingest.runs(ingest.classify_lines(_lines(spark, sf_dir))))
+
+
+@query()
+def palatalized(spark, sf_dir):
+    """Dotted g and c of every different token."""
+    words = diacritics.tokens(read(spark, sf_dir, "documents")).select("word").distinct()
+    return words.select("word", S.palatalize_c(S.palatalize_g(F.col("word"))).alias("dotted"))
+
+
+@query()
+def syllables(spark, sf_dir):
+    words = diacritics.tokens(read(spark, sf_dir, "documents")).select(F.lower("word").alias("word")).distinct()
+    return words.select("word", udfs.syllabify("word").alias("syllables"))
+
+
+@query()
+def ocr_scores(spark, sf_dir):
+    """Error rates and letter recalls of each benchmark item against its text without doubled letters."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"), S.degeminate(F.col("text")).alias("observed"))
+    return ocr.scores(items).drop("expected", "observed")
+
+
+@query()
+def tei_round_trip(spark, sf_dir):
+    """Verse and prose of documents written as TEI and read back."""
+    rows = sentence_rows(spark, sf_dir).select("doc_id", F.lit("sentence").alias("kind"), F.lit("/0/").alias("path"), F.col("sentence_ix").alias("ord"), F.lit(None).cast("string").alias("title"), F.col("number").cast("string").alias("number"), "speaker", "text")
+    head = read(spark, sf_dir, "documents").select("doc_id", F.lit("section").alias("kind"), F.lit("/0/").alias("path"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("text"))
+    return tei.read(tei.write(head.unionByName(rows)), "doc_id", "xml")

@@ -27,7 +27,7 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 def pre_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, block_ix, text): the blocks between blank lines of every <pre>, tags taken out."""
     pres = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<pre[^>]*>(.*?)</pre>"), F.lit(1))).alias("p", "pre"))
-    parts = pres.select(key, "p", F.posexplode(F.split(F.regexp_replace("pre", "<[^>]*>", ""), "\n\\s*\n")).alias("b", "text")).where(F.trim("text") != "")
+    parts = pres.select(key, "p", F.posexplode(F.split(F.regexp_replace("pre", "<[^>]*>", ""), "\n\\s*\n")).alias("b", "text")).where(S.strip(F.col("text")) != "")
     return parts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("p", "b")) - 1).alias("block_ix"), F.rtrim("text").alias("text"))
 
 
@@ -71,19 +71,19 @@ def verb_paradigms(spark: SparkSession, path: str) -> DataFrame:
 
 def prefix_list(spark: SparkSession, path: str) -> list[str]:
     """Prefixes in file order: a list of some dozens that is part of a pattern."""
-    rows = spark.read.text(path).select(F.trim("value").alias("p")).where("p <> ''")
+    rows = spark.read.text(path).select(S.strip(F.col("value")).alias("p")).where("p <> ''")
     return [r.p for r in rows.collect()]
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("token"))
+    rows = spark.read.text(path).select(F.lower(S.strip(F.col("value"))).alias("token"))
     return rows.where((F.col("token") != "") & ~F.col("token").startswith("#")).distinct()
 
 
 def rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """Ordered substitutions: a configuration file, read here; a line without two fields is an error."""
     found = []
-    for r in spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not v like '#%'").collect():
+    for r in spark.read.text(path).select(S.strip(F.col("value")).alias("v")).where("v <> '' and not v like '#%'").collect():
         parts = r.v.split("\t")
         if len(parts) < 2:
             raise ValueError(f"a rule needs a pattern and a replacement: {r.v!r}")
@@ -109,7 +109,7 @@ def search_entries(pages: DataFrame) -> DataFrame:
     plain = lambda k: S.collapse_spaces(F.regexp_replace(F.regexp_extract("cell", "(?is)<h3[^>]*>(.*?)</h3>\\s*(?:<p[^>]*>(.*?)</p>)?", k), "<[^>]*>", " "))
     rows = cells.select("page_id", "order_index", plain(1).alias("headword"), plain(2).alias("body"))
     pos = F.regexp_extract("body", "^\\(([^)]*)\\)", 1)
-    meanings = F.filter(F.transform(F.split(F.regexp_replace("body", "^\\([^)]*\\)\\s*", ""), "⬩"), lambda m: F.trim(m)), lambda m: m != "")
+    meanings = F.filter(F.transform(F.split(F.regexp_replace("body", "^\\([^)]*\\)\\s*", ""), "⬩"), lambda m: S.strip(m)), lambda m: m != "")
     return rows.select("page_id", "order_index", "headword", S.acute_to_macron(F.col("headword")).alias("headword_macronized"), pos.alias("pos"), meanings.alias("meanings"))
 
 
