@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, langid, line_dedup, packing, quality, rules, simhash
+from . import chat, decontaminate, html_extract, langid, line_dedup, packing, quality, rules, simhash, suffix_dedup
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(read(spark, sf_dir, "conversations"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontaminate": op2_decontaminate,
     "op3_html_text": op3_html_text,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat_perspectives": op5_chat_perspectives,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
