@@ -38,8 +38,11 @@ def _cut(cluster: str) -> int:
     return 0 if len(cluster) <= 1 else len(cluster) - 1
 
 
-def syllables(word: str) -> list[dict[str, str]]:
-    """Onset, nucleus and coda of each syllable of a lower-case word; a known suffix is split off first."""
+def syllables(word: str, compat: bool = True) -> list[dict[str, str]]:
+    """Onset, nucleus and coda of each syllable of a lower-case word; a known suffix is split off first.
+
+    With compat, an onset after the first is the coda before it, and a single consonant at the end of a part is lost.
+    """
     ending = next((s for s in SUFFIXES if word.endswith(s)), "")
     out = []
     for part in [word[: len(word) - len(ending)], ending] if ending else [word]:
@@ -48,7 +51,10 @@ def syllables(word: str) -> list[dict[str, str]]:
         for k, m in enumerate(found):
             until = found[k + 1].start() if k + 1 < len(found) else len(part)
             coda = _cut(part[m.end() : until])
-            out.append({"onset": part[start : m.start()], "nucleus": m[0], "coda": part[m.end() : m.end() + coda]})
+            if not compat and k + 1 == len(found):
+                coda = until - m.end()
+            onset = out[-1]["coda"] if compat and k else part[start : m.start()]
+            out.append({"onset": onset, "nucleus": m[0], "coda": part[m.end() : m.end() + coda]})
             start = m.end() + coda
     return out
 
