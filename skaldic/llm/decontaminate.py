@@ -90,5 +90,5 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without an overlap, with all their columns."""
     found = materialize(contaminated(docs, benchmark).select(F.col("doc").alias("__d"), F.col("text_hash").alias("__t")), "contaminated")
-    rows = _keyed(docs)
-    return rows.join(found, (F.col("__doc") == F.col("__d")) & (F.col("__text") == F.col("__t")), "left_anti").drop("__doc", "__text")
+    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text"))
+    return rows.join(found, (F.col("__doc") == F.col("__d")) & (F.col("__text") == F.col("__t")), "left_anti").select("__row.*")

@@ -61,14 +61,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Kept chunks are joined by \\n; a document may end up empty. Null text counts as empty and stays null; rows
     with a null doc_id come first in the order; equal rows (doc_id and text) are one document and all get its
-    result. Chunks without a word are never removed. Columns of other names stay as they are.
+    result. Chunks without a word are never removed. Other columns
+    stay as they are; ones named like the four counts are replaced.
     """
     gone = removals(docs).select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__gone")
-    found = _keyed(docs)
+    # the row travels as one struct, so that no column of docs can clash with those used here
+    found = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text"))
     found = found.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__text") == F.col("__t")), "left")
     lost = lambda c: F.coalesce(F.array_contains("__gone", c["first"]), F.lit(False))
     found = with_chunks(found).withColumn("__lost", F.filter("__chunks", lost))
     kept = F.array_join(F.transform(F.filter("__chunks", lambda c: ~lost(c)), lambda c: c["body"]), "\n")
     total = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda a, c: a + c["lines"]), F.lit(0))
-    out = found.withColumn("n_lines", total(F.col("__chunks"))).withColumn("n_chunks", F.size("__chunks")).withColumn("n_removed_chunks", F.size("__lost")).withColumn("n_removed_lines", total(F.col("__lost")))
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__doc", "__text", "__d", "__t", "__gone", "__chunks", "__lost")
+    counts = {"n_lines": total(F.col("__chunks")), "n_chunks": F.size("__chunks"), "n_removed_chunks": F.size("__lost"), "n_removed_lines": total(F.col("__lost"))}
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text")
+    own = [text if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns if c not in counts]
+    return found.select(*own, *[v.alias(k) for k, v in counts.items()])
