@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.storage import stored
 
 # Endings of the noun paradigms. A step is `builder: function ending, ...`; 0 is no ending.
 NOUN_ENDINGS = {
@@ -216,7 +217,8 @@ def numbered(forms: DataFrame, order: list[str]) -> DataFrame:
     """Add counter from 0 in the stated order, counting in ranges: sorted partitions, then the partitions' sums."""
     from pyspark.sql.window import Window
 
-    ranged = forms.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    # stored: ranges are sampled, and the sizes and the rows must come from the same ones
+    ranged = stored(forms.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))

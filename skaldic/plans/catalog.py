@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import udfs
-from ..operators import diacritics, ingest, morphology, ocr
+from ..operators import completions, declension, diacritics, ingest, morphology, ocr
 from ..sources import tei
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,3 +352,44 @@ def tei_round_trip(spark, sf_dir):
     rows = sentence_rows(spark, sf_dir).select("doc_id", F.lit("sentence").alias("kind"), F.lit("/0/").alias("path"), F.col("sentence_ix").alias("ord"), F.lit(None).cast("string").alias("title"), F.col("number").cast("string").alias("number"), "speaker", "text")
     head = read(spark, sf_dir, "documents").select("doc_id", F.lit("section").alias("kind"), F.lit("/0/").alias("path"), F.lit(0).alias("ord"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("string").alias("text"))
     return tei.read(tei.write(head.unionByName(rows)), "doc_id", "xml")
+
+
+_NUMERAL = ", ".join(f"({k}, 'PoPl{g}{c}', '{e}', '{p}')" for k, (g, c, e, p) in enumerate((g, *x) for g in ("Ma", "Ne", "Fe") for x in (("No", "an", ""), ("Ac", "an", ""), ("Ge", "ra", ""), ("Ge", "ena", "1"), ("Da", "um", ""))))
+
+
+@query(f"""WITH {_WORDS}, e(ord, function, ending, probability) AS (VALUES {_NUMERAL})
+SELECT nid, ord, function, regexp_replace(stem, '[eao]$', '') || ending AS form, probability FROM w, e""")
+def numeral_forms(spark, sf_dir):
+    """Words as weak numerals."""
+    words = _words(spark, sf_dir).withColumn("noun", F.lit(0))
+    return declension.numeral_forms(words).where("dup = 0").select("nid", "ord", "function", "form", "probability")
+
+
+_STRONG = ", ".join(f"({k}, 'Po{e[1:].split()[0]}', '{e.split()[1].split('-')[1]}', '{e.split()[2]}')" for k, e in enumerate(declension.STRONG["blind"].split(", ")))
+
+
+@query(f"""WITH {_WORDS}, e(ord, function, ending, probability) AS (VALUES {_STRONG})
+SELECT nid, ord, function, stem || CASE ending WHEN '0' THEN '' ELSE ending END AS form, probability FROM w, e""")
+def adjective_strong_forms(spark, sf_dir):
+    """Words declined as strong adjectives of the first table."""
+    return _adjectives(spark, sf_dir).where("dup = 0 and part = 0").select("nid", "ord", "function", "form", "probability")
+
+
+def _adjectives(spark, sf_dir):
+    flags = {"paradigm": "blind", "adjective": 1, "numeral": 0, "pronoun": 0, "papart": 0, "pspart": 0}
+    return declension.adjective_forms(_words(spark, sf_dir).withColumns({k: F.lit(v) for k, v in flags.items()}))
+
+
+@query()
+def adjective_forms(spark, sf_dir):
+    """All degrees, strong and weak."""
+    return _adjectives(spark, sf_dir).select("nid", "part", "rank", "ord", "dup", "function", "form", "formi", "probability")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE length(text) * 10 END AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n IS NULL THEN 2000 ELSE least(n, 2000) END AS max_tokens, n IS NULL OR n > 2000 AS changed FROM m""")
+def clamped_requests(spark, sf_dir):
+    """Token limits on requests."""
+    n = F.length("text")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(n % 3 != 0, (n * 10).cast("string")).alias("max_tokens"), *[F.lit(None).cast("string").alias(c) for c in ("max_completion_tokens", "temperature", "top_p")])
+    return completions.clamp(rows, 2000).select("conv_id", "turn", "max_tokens", (F.size("notes") > 0).alias("changed"))

@@ -1,0 +1,20 @@
+"""Cut a long lineage by a table in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under spark.checkpoint.dir and read again; a temporary folder only where that is unset."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.skaldic.scratch", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='skaldic-')}"
+        spark.conf.set("spark.skaldic.scratch", where)
+    path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
