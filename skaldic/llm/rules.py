@@ -21,7 +21,7 @@ REPEAT = 8
 #: At most so many trusted documents (those with the smallest hash of doc_id) make the trusted counts.
 TRUSTED = 20_000
 #: Nats per n-gram.
-THRESHOLD = -0.09
+THRESHOLD = -0.065
 
 
 def _buckets(pair: Column) -> list[Column]:
