@@ -111,46 +111,57 @@ def _scan(t, kind, buckets, queues, fixed, wanted, raw, most):
     return out
 
 
+def _kinds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is S (smaller than the one after it), and the places of the left-most S."""
+    if len(t) == 1:
+        return np.ones(1, bool), np.zeros(0, np.int64)
+    step = np.sign(np.diff(t.astype(np.int64)))
+    turn = np.minimum.accumulate(np.where(step != 0, np.arange(len(t) - 1), len(t))[::-1])[::-1]
+    kind = np.append(step[turn] > 0, True)
+    return kind, np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
+
+
 def order_names(t: list[int], size: int) -> list[int]:
     """The suffix order of a string of names below `size`, by the same induction one suffix at a time.
 
     Names are many and queues short here, and a common prefix is not needed: plain lists serve. The last name is 0, the only one.
     """
     n = len(t)
-    kind = [True] * n
-    for k in range(n - 2, -1, -1):
-        kind[k] = t[k] < t[k + 1] or t[k] == t[k + 1] and kind[k + 1]
-    stars = [k for k in range(1, n) if kind[k] and not kind[k - 1]]
-    if not stars:
+    kinds, stars = _kinds(np.array(t, np.int64))
+    if not len(stars):
         return list(range(n - 1, -1, -1)) if n > 1 else [0]
-    pieces = [tuple((t[j], kind[j]) for j in range(a, b + 1)) for a, b in zip(stars, [*stars[1:], n - 1])]
+    kind, stars = kinds.tolist(), stars.tolist()
+    code = (np.array(t, np.int64) * 2 + kinds).astype(">u4").tobytes()
+    pieces = [code[4 * a : 4 * b] for a, b in zip(stars, [*[x + 1 for x in stars[1:]], n])]
     names = {p: k for k, p in enumerate(sorted(set(pieces)))}
     if len(names) == len(stars):
-        order = sorted(stars, key=dict(zip(stars, pieces)).__getitem__)
+        order = [k for _, k in sorted(zip(pieces, stars))]
     else:
         order = [stars[k] for k in order_names([names[p] for p in pieces], len(names))]
-    del pieces, names
+    del pieces, names, code
+    # the left neighbour and its name, where it belongs to the scan: looked up once for each suffix
+    left = [-1, *t[:-1]]
+    fall = [c if c >= 0 and not k else -1 for c, k in zip(left, [True, *kind[:-1]])]
+    rise = [c if k else -1 for c, k in zip(left, [False, *kind[:-1]])]
     starting: list[list[int]] = [[] for _ in range(size)]
     for k in order:
         starting[t[k]].append(k)
     falling: list[list[int]] = [[] for _ in range(size)]
     for c in range(size):
-        queue = falling[c]
-        for k in queue:  # grows meanwhile
-            if k and not kind[k - 1]:
-                falling[t[k - 1]].append(k - 1)
+        for k in falling[c]:  # grows meanwhile
+            if (d := fall[k]) >= 0:
+                falling[d].append(k - 1)
         for k in starting[c]:
-            if k and not kind[k - 1]:
-                falling[t[k - 1]].append(k - 1)
+            if (d := fall[k]) >= 0:
+                falling[d].append(k - 1)
     rising: list[list[int]] = [[] for _ in range(size)]
     for c in range(size - 1, -1, -1):
-        queue = rising[c]
-        for k in queue:
-            if k and kind[k - 1]:
-                rising[t[k - 1]].append(k - 1)
+        for k in rising[c]:
+            if (d := rise[k]) >= 0:
+                rising[d].append(k - 1)
         for k in reversed(falling[c]):
-            if k and kind[k - 1]:
-                rising[t[k - 1]].append(k - 1)
+            if (d := rise[k]) >= 0:
+                rising[d].append(k - 1)
     rising[0] = [n - 1]
     return [k for c in range(size) for part in (falling[c], reversed(rising[c])) for k in part]
 
@@ -163,11 +174,7 @@ def suffix_sort(t: np.ndarray, raw: np.ndarray, most: int) -> tuple[np.ndarray,
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    step = np.sign(np.diff(t.astype(np.int64)))
-    turn = np.where(step != 0, np.arange(n - 1), n)
-    turn = np.minimum.accumulate(turn[::-1])[::-1]
-    kind = np.append(step[turn] > 0, True)  # True: S, smaller than the suffix after it
-    stars = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
+    kind, stars = _kinds(t)
     code = (t.astype(np.int64) * 2 + kind).astype(">u4").tobytes()
     ends = np.append(stars[1:] + 1, n).tolist()
     pieces = [code[4 * a : 4 * b] for a, b in zip(stars.tolist(), ends)]

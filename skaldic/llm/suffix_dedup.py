@@ -26,7 +26,7 @@ from .induced import suffix_sort
 
 WIDTH, KMER = 100, 32
 #: Longest run of one string; bytes of a shard; different strings of an anchor that one shard sorts.
-LONGEST, SHARD, CROWD = 512, 2_000_000, 2000
+LONGEST, SHARD, CROWD = 512, 1_000_000, 2000
 _FACTOR = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -89,8 +89,8 @@ def _rows(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
+            for at in range(0, len(batch), 100):
+                part = batch.slice(at, 100)
                 docs, ths, cols = [], [], []
                 for doc, th, text in zip(*(c.to_pylist() for c in part.columns)):
                     if text and (found := runs(text, powers)) is not None:
