@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Sub-groups of one length; the ranks within a length are counted in each and then added up.
-BUCKETS = 64
+#: Sub-groups of one length, at least, and pieces of a sub-group, about: ranks are counted in each and then added up.
+BUCKETS, GROUP = 64, 1_000_000
 #: Entries of the word cache of a Python worker before it is emptied.
 CACHE = 400_000
 
@@ -238,20 +238,22 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer_path, capacity), PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = BUCKETS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
     Every piece gets one place; the pieces of a sequence adjoin from offset 0 and end by `capacity`. Equal
     rows are interchangeable. An empty table gives an empty result. Extra columns of `pieces` are dropped.
     """
     pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
-    pieces = pieces.withColumn("bucket", bucket.cast("int"))
-    by_bucket = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * buckets rows
+    by_length = dict(pieces.groupBy("length").count().collect())  # at most capacity rows
+    parts = F.lit(",".join(str(max(buckets, by_length.get(n, 0) // group)) for n in range(1, capacity + 1)))
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.get(F.split(parts, ",").cast("array<bigint>"), F.col("length").cast("int") - 1))
+    pieces = pieces.withColumn("bucket", bucket)
+    by_bucket = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * buckets rows, and one for each `group` pieces
     counts: dict[int, int] = {}
     before: dict[int, int] = {}
     for r in sorted(by_bucket):
-        before[r.length * buckets + r.bucket] = counts.get(r.length, 0)
+        before[(r.length << 44) + r.bucket] = counts.get(r.length, 0)
         counts[r.length] = counts.get(r.length, 0) + r.n
     keys, sequences, offsets = _places(plan_sequences(counts, capacity))
     groups = np.array(sorted(before), np.int64)
@@ -260,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = BUCKETS) -> Dat
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, bucket, nth = (batch.column(k).to_numpy() for k in (3, 5, 6))
-            ranks = bases[np.searchsorted(groups, length * buckets + bucket)] + nth - 1
+            ranks = bases[np.searchsorted(groups, (length << 44) + bucket)] + nth - 1
             wanted = (length << 44) + ranks
             at = np.searchsorted(keys, wanted, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequences[at] + wanted - keys[at]), pa.array(offsets[at])], [*batch.schema.names[:5], "sequence_id", "offset"])

@@ -59,6 +59,9 @@ def test_packing_round_trip(spark, odd, empty):
             end += length
         assert end <= 2048
     assert packing.pack_documents(empty, word_bpe()).count() == 0
+    pieces = packing.cut(odd, word_bpe())
+    again = packing.pack(pieces, buckets=1, group=3).collect()
+    assert len(again) == len(rows) and len({(r.sequence_id, r.offset) for r in again}) == len(again)
 
 
 @pytest.mark.parametrize("seed", range(5))
