@@ -99,11 +99,15 @@ def sentence_counts(spark, sf_dir):
 _INDEX = f"{LINES}, w AS (SELECT doc_id, line_number, {WORDS} FROM t), k AS (SELECT doc_id, {KEY} AS key, lower(word) AS form FROM w), i AS (SELECT key, list_sort(list(DISTINCT form)) AS forms FROM k WHERE doc_id % 2 = 0 GROUP BY key)"
 
 
-def _index(spark, sf_dir):
-    known = diacritics.tokens(read(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(2)) == 0))
+def _spellings(docs):
+    known = diacritics.tokens(docs)
     return diacritics.build_index(known.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")))
 
 
+def _index(spark, sf_dir):
+    return _spellings(read(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(2)) == 0))
+
+
 @query(f"WITH {_INDEX} SELECT key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i")
 def spelling_index(spark, sf_dir):
     """Key to spellings over one of the two volumes (even documents) that the look-up below is tested against."""
@@ -121,8 +125,9 @@ def index_lookup(spark, sf_dir):
 
 @query()
 def restored_texts(spark, sf_dir):
-    """Every text with diacritics restored; checked by tests, as the rules need lookbehind."""
-    return diacritics.restore(read(spark, sf_dir, "documents"), _index(spark, sf_dir))
+    """Every text with diacritics restored from the spellings of all documents; checked by tests, as the rules need lookbehind."""
+    docs = read(spark, sf_dir, "documents")
+    return diacritics.restore(docs, _spellings(docs))
 
 
 @query(f"""WITH {_INDEX}, added AS (SELECT key, max(form) AS form FROM (SELECT DISTINCT {KEY} AS key, lower(word) AS form FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word FROM benchmark)) GROUP BY key),

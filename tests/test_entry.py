@@ -35,6 +35,12 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_restoring_knows_the_spellings_of_all_documents(spark, tmp_path):
+    texts = [(1, "stan ban"), (2, "stān bān"), (4, "ban")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in catalog.QUERIES["restored_texts"](spark, str(tmp_path)).collect()} == dict(texts)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
