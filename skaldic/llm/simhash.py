@@ -141,8 +141,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
 
 #: Min-hash blocking of one_of_each: BANDS keys of ROWS minima; at 0.8 a pair shares a key with probability 0.997.
 BANDS, ROWS = 8, 3
-#: Fingerprints of texts at similarity 0.8 differ in about 10 bits (deviation 3); pairs beyond this go unverified.
-FARTHEST = 26
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -151,18 +149,17 @@ _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 def _sketch(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, fps, keys = [], [], []
+            same, keys = [], []
             for text in batch.column(1).to_pylist():
                 text = text or b""
                 same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                 h = shingles(text, shingle)
-                fps.append(majority(h))
                 if len(h):
                     low = np.array([(h * a + b).min() for a, b in zip(_A, _B)]).reshape(BANDS, ROWS)
                     keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(low)])
                 else:
                     keys.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
 
     return run
 
@@ -183,26 +180,23 @@ def _jaccard(shingle: int, least: float):
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: texts linked at Jaccard `similarity` of their word shingles.
 
-    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates: all pairs
-    under keys of up to `crowd` nodes, pairs with the key's smallest node under larger ones. Candidates
-    whose pivot distances or fingerprints are too far apart are discarded, the others verified on the whole texts.
+    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates, and all
+    candidates are verified on the whole texts: pair by pair under keys of up to `crowd` nodes; under larger
+    ones against the key's smallest node.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = materialize(rows.mapInArrow(_sketch(shingle), "doc_id long, same binary, fp long, keys array<long>"), "sketches")
+    found = materialize(rows.mapInArrow(_sketch(shingle), "doc_id long, same binary, keys array<long>"), "sketches")
     nodes = materialize(found.groupBy("same").agg(F.min("doc_id").alias("rep")), "nodes")
     heads = found.join(nodes, (found.same == nodes.same) & (found.doc_id == nodes.rep), "left_semi").dropDuplicates(["doc_id", "same"])
-    keyed = materialize(heads.select("doc_id", "fp", _pivots(F.col("fp")).alias("pv"), F.posexplode("keys").alias("band", "key")), "bands")
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "pv")).alias("head")).where("n > 1")
+    keyed = materialize(heads.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
+    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).where("n > 1")
     sizes = materialize(sizes, "sizes")
     few = keyed.join(sizes.where(F.col("n") <= crowd).select("band", "key"), ["band", "key"], "left_semi")
     x, y = few.alias("x"), few.alias("y")
-    near = lambda p, q: _near(p["pv"], q["pv"], FARTHEST) & (F.bit_count(p["fp"].bitwiseXOR(q["fp"])) <= FARTHEST)
-    col = lambda side: {c: F.col(f"{side}.{c}") for c in ("doc_id", "fp", "pv")}
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & near(col("x"), col("y")))
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     pairs = pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
-    many = keyed.join(sizes.where(F.col("n") > crowd).select("band", "key", "head"), ["band", "key"])
-    many = many.where(near({c: F.col(c) for c in ("fp", "pv")}, {c: F.col(f"head.{c}") for c in ("fp", "pv")})).select(F.col("head.doc_id").alias("u"), F.col("doc_id").alias("v")).where("u < v")
-    pairs = materialize(pairs.unionByName(many).distinct(), "pairs")
+    many = materialize(keyed.join(sizes.where(F.col("n") > crowd).select("band", "key", "head"), ["band", "key"]), "many")
+    pairs = materialize(pairs.unionByName(many.select(F.col("head").alias("u"), F.col("doc_id").alias("v")).where("u < v")).distinct(), "pairs")
     texts = rows.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
     texts = materialize(texts, "texts")
     left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))

@@ -144,6 +144,22 @@ def test_similar_groups(spark, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def near_groups(texts):
+    """Brute force: components at Jaccard 0.8 of five-word shingles."""
+    sets = [(k, set(zip(*[t.split()[j:] for j in range(5)]))) for k, t in texts]
+    return brute_groups(sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+
+
+def test_repeated_shingles_lose_no_pair(spark):
+    texts = []
+    for k in range(8):
+        body = prose(100 + k, 600)
+        texts += [(2 * k + c, f"{body} " + f"{prose(200 + 2 * k + c, 8)} " * 300) for c in range(2)]
+    wanted = near_groups(texts)
+    assert len(set(wanted.values())) == 8
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(5, 5), (100, 99), (100, 99), (None, 3)], "u long, v long")
     assert {r.node: r.component for r in graph.components(edges).collect()} == {k: 0 for k in range(61)} | {99: 99, 100: 99}
