@@ -141,6 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
 
 #: Min-hash blocking of one_of_each: BANDS keys of ROWS minima; at 0.8 a pair shares a key with probability 0.997.
 BANDS, ROWS = 8, 3
+#: Texts a block of a crowded key, about; two blocks are compared at once.
+BLOCK = 256
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -177,12 +179,76 @@ def _jaccard(shingle: int, least: float):
     return run
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(t or b"", shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def linked(sets: list[np.ndarray], least: float, width: int = 8192) -> np.ndarray:
+    """For each set the smallest place of its component, where sets at Jaccard `least` or more are linked."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row, both = np.repeat(np.arange(n), sizes), np.zeros((n, n), np.int64)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for k in range(0, len(known), width):  # all pairs by matrix products over `width` shingles at a time
+        a, b = np.searchsorted(at, (k, k + width))
+        some = np.zeros((n, width), np.float32)
+        some[row[a:b], at[a:b] - k] = 1
+        both += (some @ some.T).astype(np.int64)
+    near = (both >= least * np.maximum(1, sizes[:, None] + sizes - both)) | np.eye(n, dtype=bool)
+    label = np.arange(n)
+    while True:
+        new = np.where(near, label, n).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(least: float):
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("doc_id").to_pylist()
+        first = linked([np.frombuffer(s, "<u8") for s in group.column("shingles").to_pylist()], least)
+        pairs = {(ids[k], v) for k, v in zip(first.tolist(), ids) if ids[k] != v}
+        return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+
+    return run
+
+
+def _crowded(many: DataFrame, star: DataFrame, rows: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """Links that join what all pairs under the crowded keys would join: many (band, key, head, doc_id), star (u, v): links to heads.
+
+    Texts linked to the head are joined already, so only the others, the strays, are compared with every text
+    of the key: in blocks, of which each with strays meets every other one.
+    """
+    marked = many.join(star, (F.col("head") == star.u) & (F.col("doc_id") == star.v), "left")
+    marked = marked.select("band", "key", "doc_id", (F.col("v").isNull() & (F.col("doc_id") != F.col("head"))).alias("stray"))
+    marked = materialize(marked, "marked")
+    counts = marked.groupBy("band", "key").agg(F.count_if("stray").alias("s"), F.count_if(~F.col("stray")).alias("m")).where("s > 0")
+    ns, nm = F.ceil(F.col("s") / block), F.ceil(F.col("m") / block)
+    placed = marked.join(counts.select("band", "key", ns.alias("ns"), nm.alias("nm")), ["band", "key"])
+    h = F.xxhash64("doc_id")
+    placed = placed.withColumn("own", F.when(F.col("stray"), F.pmod(h, F.col("ns"))).otherwise(F.col("ns") + F.pmod(h, F.col("nm"))))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ns") + F.col("nm") - 1), lambda x: (x != F.col("own")) & (F.least(x, F.col("own")) < F.col("ns")))
+    met = placed.select("band", "key", "doc_id", "own", F.explode(met).alias("other"))
+    met = met.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("doc_id").alias("of"))
+    met = materialize(met, "blocks")
+    own = rows.join(met.select("of").distinct(), F.col("doc_id") == F.col("of"), "left_semi")
+    sets = materialize(own.mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
+    full = met.join(sets, met.of == sets.doc_id).select("band", "key", "x", "y", "doc_id", "shingles")
+    return full.groupBy("band", "key", "x", "y").applyInArrow(_compare(similarity), "u long, v long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for every row with a doc_id: texts linked at Jaccard `similarity` of their word shingles.
 
     Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates, and all
     candidates are verified on the whole texts: pair by pair under keys of up to `crowd` nodes; under larger
-    ones against the key's smallest node.
+    ones first against the key's smallest node, then in blocks (_crowded).
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     found = materialize(rows.mapInArrow(_sketch(shingle), "doc_id long, same binary, keys array<long>"), "sketches")
@@ -201,7 +267,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     texts = materialize(texts, "texts")
     left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
     checked = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(shingle, similarity), "u long, v long")
-    known = components(checked)
+    checked = materialize(checked.distinct(), "checked")
+    known = components(checked.unionByName(_crowded(many, checked, texts, shingle, similarity, block)))
     named = nodes.join(known, nodes.rep == known.node, "left").select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, found.same == named.of).select("doc_id", "component_id")
 

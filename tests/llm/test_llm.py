@@ -150,6 +150,22 @@ def near_groups(texts):
     return brute_groups(sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_crowds_of_variants_lose_no_group(spark, block):
+    rng, texts = random.Random(4), []
+    for k in range(60):  # variants of one template below 0.8, and two light copies of each
+        words = prose(7, 100).split()
+        for at in rng.sample(range(100), 4):
+            words[at] = f"v{k}x{at}"
+        for c in range(2):
+            copy = words.copy()
+            copy[rng.randrange(100)] = f"c{k}x{c}"
+            texts.append((2 * k + c, " ".join(copy)))
+    wanted = near_groups(texts)
+    found = simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), crowd=8, block=block)
+    assert len(set(wanted.values())) > 20 and {r.doc_id: r.component_id for r in found.collect()} == wanted
+
+
 def test_repeated_shingles_lose_no_pair(spark):
     texts = []
     for k in range(8):
