@@ -171,19 +171,28 @@ def sound_changes(forms: DataFrame) -> DataFrame:
 
 
 def noun_paradigms(words: DataFrame) -> DataFrame:
-    """Add paradigms: by section number, then the label that an earlier noun of the same stem got, then by gender."""
+    """Add paradigms: by section number, then the label that an earlier noun of the same stem got, then by shape and so on to the same stem, then by gender."""
     found = None
     for pattern, label in NOUN_SECTIONS:
         labels = F.split(F.lit(label), ";")
         found = F.when(F.col("wright").rlike(pattern), labels) if found is None else found.when(F.col("wright").rlike(pattern), labels)
     df = words.withColumn("own", found)
     by_stem = df.where("own is not null").groupBy("stem").agg(F.min_by("own", "nid").alias("shared"))
+    stem, masc, fem, neut = F.col("stem"), F.col("n_masc") == 1, F.col("n_fem") == 1, F.col("n_neut") == 1
+    vowel = F.regexp_extract("stem", f"^({S.VOWEL}?{S.VOWEL}?.*?)({S.VOWEL}{S.VOWEL}?)", 2)
+    front = vowel.rlike("[æǽ]") & (S.syllable_count(stem) < 2)
     shape = F.array_compact(F.array(
-        F.when(F.col("stem").rlike("(els|scipe)$"), "stán"), F.when(F.col("stem").rlike("incel$"), "hof"), F.when(F.col("stem").rlike("(ness|niss|nyss|ung)$"), "ár"),
+        F.when(stem.endswith("a"), F.when(vowel.rlike(S.LONG_VOWEL), "fréa").otherwise("guma")),
+        F.when(stem.endswith("e") & fem, "tunge"), F.when(stem.endswith("e") & masc, "stán"), F.when(stem.endswith("e") & neut, "hof"),
+        F.when(stem.endswith("nd") & masc, "wígend"),
+        F.when(stem.rlike("(els|scipe)$"), "stán"), F.when(stem.rlike("incel$"), "hof"), F.when(stem.rlike("(ness|niss|nyss|ung)$"), "ár"),
+        F.when(front & masc, "dæg"), F.when(front & neut, "fæt"),
     ))
-    gender = F.array_compact(F.array(F.when(F.col("n_masc") == 1, "stán"), F.when(F.col("n_fem") == 1, "ár"), F.when(F.col("n_neut") == 1, "word")))
-    df = df.join(by_stem, "stem", "left")
-    return df.withColumn("paradigms", F.coalesce("own", F.slice("shared", 1, 1), F.when(F.size(shape) > 0, shape), gender)).drop("own", "shared")
+    gender = F.array_compact(F.array(F.when(masc | (F.col("n_uncert") == 1), "stán"), F.when(neut, F.when(S.stem_length(stem) == 1, "word").otherwise("hof")), F.when(fem, "ár")))
+    df = df.join(by_stem, "stem", "left").withColumn("known", F.coalesce("own", F.slice("shared", 1, 1), F.when(F.size(shape) > 0, shape)))
+    again = df.where("known is not null").groupBy("stem").agg(F.min_by("known", "nid").alias("later"))
+    df = df.join(again, "stem", "left")
+    return df.withColumn("paradigms", F.coalesce("known", F.slice("later", 1, 1), gender)).drop("own", "shared", "known", "later")
 
 
 def adjective_paradigms(words: DataFrame) -> DataFrame:

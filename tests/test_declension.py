@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from skaldic.operators import declension
+from skaldic.operators import declension, morphology
 
 WORD = "nid int, title string, stem string, prefix string, wright string, paradigm string, adjective int, numeral int, pronoun int, papart int, pspart int"
 
@@ -35,3 +35,10 @@ def test_r_stems(spark):
     words = spark.createDataFrame([(1, "mōdor", "mōdor", "", "", "mōdor"), (2, "stān", "stān", "", "", "stān")], "nid int, title string, stem string, prefix string, wright string, paradigm string")
     found = declension.r_stem_forms(words).where("dup = 0").collect()
     assert len(found) == 12 and {r.form for r in found if r.function == "SgFeDa"} == {"mēder"}
+
+
+def test_noun_labels_by_shape_and_gender(spark):
+    rows = [("guma", 1, 0, 0, 0, ["guma"]), ("frēa", 1, 0, 0, 0, ["fréa"]), ("tunge", 0, 1, 0, 0, ["tunge"]), ("ende", 1, 0, 0, 0, ["stán"]), ("wīte", 0, 0, 1, 0, ["hof"]), ("wīgend", 1, 0, 0, 0, ["wígend"])]
+    rows += [("dæg", 1, 0, 0, 0, ["dæg"]), ("fæt", 0, 0, 1, 0, ["fæt"]), ("fæt", 0, 1, 0, 0, ["fæt"]), ("stole", 0, 0, 0, 1, ["stán"]), ("word", 0, 0, 1, 0, ["word"]), ("ho", 0, 0, 1, 0, ["hof"]), ("hand", 0, 1, 0, 0, ["ár"])]
+    words = spark.createDataFrame([(k, r[0], "", *r[1:5]) for k, r in enumerate(rows)], "nid long, stem string, wright string, n_masc int, n_fem int, n_neut int, n_uncert int")
+    assert {r.nid: list(r.paradigms) for r in morphology.noun_paradigms(words).collect()} == {k: r[5] for k, r in enumerate(rows)}
