@@ -18,8 +18,6 @@ from .common import SPACE_CHARS, shifted, words_fast
 BUCKETS = 10_000
 SYMBOLS = "[#*$%&|<>]"
 REPEAT = 8
-#: At most so many trusted documents (those with the smallest hash of doc_id) make the trusted counts.
-TRUSTED = 20_000
 #: Nats per n-gram.
 THRESHOLD = -0.065
 
@@ -42,8 +40,8 @@ def bucket_counts(docs: DataFrame) -> dict[int, int]:
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """log p_trusted - log p_raw of each bucket in millionths; add-one smoothing. All 0 without a trusted text."""
-    ids = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(TRUSTED)
-    good = bucket_counts(docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi"))
+    ids = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
+    good = bucket_counts(docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi"))
     if not good:
         return [0] * BUCKETS
     raw = bucket_counts(docs)

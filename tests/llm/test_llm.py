@@ -339,6 +339,12 @@ def test_quality_rules(spark, odd, empty, labels):
     assert all(r.llr == 0 for r in rules.judge(odd, labels.limit(0)).collect())
 
 
+def test_all_trusted_rows_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TRUSTED", 1, raising=False)
+    docs = spark.createDataFrame([(k, f"a{k} b{k}") for k in range(6)], "doc_id long, text string")
+    assert set(rules.weights(docs, docs.select("doc_id"))) == {0}  # all are trusted: equal counts
+
+
 def test_quality_classifier(spark, odd, empty, labels):
     rows = [(k, prose(k, 60) if k % 3 else " ".join(f"{w.upper()}!!" for w in prose(k, 60).split())) for k in range(300)]
     docs = spark.createDataFrame([*rows, (300, ""), (301, None)], "doc_id long, text string")
