@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("spark.skaldic.test.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.TemporaryDirectory(prefix="skaldic-")
         atexit.register(own.cleanup)
         where = f"file://{own.name}"
@@ -35,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys (8 bytes each) that may be broadcast: 64 MB at most on the driver and in each executor.
+BROADCAST_KEYS = 4_000_000
+
+
+def bounded(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of one long per row, marked for broadcast if a count proves it small; else left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= (BROADCAST_KEYS if most is None else most) else keys
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text: runs without ASCII white space; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

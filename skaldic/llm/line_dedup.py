@@ -1,6 +1,6 @@
 """Line dedup by content-defined line chunks (operator 10). DataFrame functions only.
 
-Lines are hashed, and a polynomial rolling hash runs over WINDOW line hashes. A chunk ends after a line whose
+Lines are hashed, and a polynomial rolling hash runs over two line hashes. A chunk ends after a line whose
 rolling hash is smaller than both neighbours', so that boundaries depend on the lines around them and not on
 their place, and a passage of several lines is cut alike wherever it stands. A chunk of two lines or more that
 occurs before (smaller doc_id, or earlier in the document) is removed; equality is decided on the bytes.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 
 #: Base and modulus of the rolling hash over two line hashes.
 BASE, PRIME = 31, 2147483647
@@ -42,34 +42,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(__doc, __text, __gone): for each row that loses chunks, the first lines of those chunks."""
+    """(__doc, __text, __gone): for each row that loses chunks, the first lines of those chunks.
+
+    Only hashes are counted over all chunks; bodies travel for the chunks whose hash repeats. The first place of
+    a body is found by a minimum that is taken before the shuffle too, and all other places by the keys of
+    their rows, so that a very common chunk meets nowhere.
+    """
     # explode_outer: for explode, the optimizer would filter on a copy of the whole chunk expression
     rows = with_chunks(_keyed(docs.select("doc_id", "text"))).select("__doc", "__text", F.explode_outer("__chunks").alias("c")).select("__doc", "__text", "c.*")
-    rows = rows.where((F.col("lines") > 1) & (F.btrim("body", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    hashed = rows.withColumn("k", F.xxhash64("body"))
-    often = hashed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    again = materialize(hashed.join(often, "k", "left_semi"), "again")
-    place = F.col("__doc").cast("decimal(20,0)").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("first").cast("decimal(12,0)")
-    again = again.withColumn("place", place.cast("decimal(38,0)"))
-    firsts = again.groupBy("k", "body").agg(F.min("place").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("of"), F.col("body").alias("same"), "at")
-    later = again.join(firsts, (F.col("k") == F.col("of")) & (F.col("body") == F.col("same")) & (F.col("place") > F.col("at")))
-    return later.groupBy("__doc", "__text").agg(F.collect_set("first").alias("__gone"))
+    rows = rows.where((F.col("lines") > 1) & (F.btrim("body", F.lit(" \t\n\x0b\x0c\r")) != "")).withColumn("k", F.xxhash64("body"))
+    often = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"), "often")
+    again = materialize(rows.join(bounded(often), "k", "left_semi"), "again")
+    firsts = again.groupBy("k", "body").agg(F.min(F.struct("__doc", "__text", "first")).alias("at")).select("at.*")
+    return again.select("__doc", "__text", "first").join(firsts, ["__doc", "__text", "first"], "left_anti").groupBy("__doc", "__text").agg(F.collect_set("first").alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, text without its repeated chunks, and n_lines, n_chunks, n_removed_chunks, n_removed_lines.
 
     Kept chunks are joined by \\n; a document may end up empty. Null text counts as empty and stays null; rows
-    with a null doc_id come first in the order; equal rows (doc_id and text) are one document and all get its
-    result. Chunks without a word are never removed. Other columns
-    stay as they are; ones named like the four counts are replaced.
+    with a null doc_id come first in the order; rows that share a doc_id (or have none) but not the text are ordered
+    by a hash of the text; equal rows (doc_id and text) are one document and all get its result. Chunks without a
+    word are never removed. An empty table gives an empty result. Other columns stay as they are; ones named like
+    the four counts are replaced.
     """
-    gone = removals(docs).select(F.col("__doc").alias("__d"), F.col("__text").alias("__t"), "__gone")
-    # the row travels as one struct, so that no column of docs can clash with those used here
-    found = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text"))
-    found = found.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__text") == F.col("__t")), "left")
+    gone = materialize(removals(docs), "gone")
+    keys = materialize(gone.select(F.xxhash64("__doc", "__text").alias("__key")), "keys")
+    # the row travels as one struct, so that no column of docs can clash with those used here; only rows that lose something are shuffled
+    found = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")).drop("doc_id", "text").withColumn("__key", F.xxhash64("__doc", "__text"))
+    small = bounded(keys)
+    rest = found.join(small, "__key", "left_anti").select("__row", F.lit(None).cast("array<int>").alias("__gone"))
+    hit = found.join(small, "__key", "left_semi").join(gone, ["__doc", "__text"], "left").select("__row", "__gone")
     lost = lambda c: F.coalesce(F.array_contains("__gone", c["first"]), F.lit(False))
-    found = with_chunks(found).withColumn("__lost", F.filter("__chunks", lost))
+    found = with_chunks(rest.unionByName(hit).withColumn("text", F.col("__row")["text"])).withColumn("__lost", F.filter("__chunks", lost))
     kept = F.array_join(F.transform(F.filter("__chunks", lambda c: ~lost(c)), lambda c: c["body"]), "\n")
     total = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda a, c: a + c["lines"]), F.lit(0))
     counts = {"n_lines": total(F.col("__chunks")), "n_chunks": F.size("__chunks"), "n_removed_chunks": F.size("__lost"), "n_removed_lines": total(F.col("__lost"))}

@@ -361,3 +361,47 @@ def test_quality_classifier(spark, odd, empty, labels):
 def test_isotonic_does_not_fall():
     at, rate = quality.isotonic(np.arange(6.0), np.array([1, 0, 2, 1, 3, 3.0]), np.array([2, 2, 3, 3, 3, 3.0]))
     assert (np.diff(rate) >= 0).all() and np.isclose(rate[0], 0.25)
+
+
+def brute_chunks(lines):
+    """Chunk boundaries by the stated rule, line by line."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % line_dedup.PRIME for x in lines]
+    r = [(a * line_dedup.BASE + b) % line_dedup.PRIME for a, b in zip(h, h[1:])]
+    ends = [j + 2 for j in range(1, len(r) - 1) if r[j] < r[j - 1] and r[j] < r[j + 1]] + [len(lines)]
+    return list(zip([0, *ends], ends))
+
+
+def brute_line_dedup(rows):
+    """The texts after removal, by row key; `rows` (place, text) in the order that decides which occurrence stays."""
+    seen, out = {}, {}
+    for place, text in sorted(rows):
+        lines, kept = (text or "").split("\n"), []
+        for a, b in brute_chunks(lines):
+            body = "\n".join(lines[a:b])
+            if b - a < 2 or not body.strip(" \t\n\x0b\x0c\r") or seen.setdefault(body, (place, a)) == (place, a):
+                kept.append(body)
+        out[place] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, limit):
+    from skaldic.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+    rng, passages = random.Random(3), [[prose(70 + k, 6) for k in range(j, j + 9)] for j in (0, 9, 18)]
+    texts = []
+    for k in range(40):
+        lines = [prose(1000 + 50 * k + j, 5) for j in range(rng.randrange(8))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = p
+        texts.append((rng.choice([k, k, 7, None]), "\n".join(lines)))
+    texts += [(90, texts[3][1]), (90, texts[3][1] + "\nmore"), (None, texts[3][1]), (None, texts[4][1] + "\nx\ny")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    keys = {(r.doc_id, r.text): r.th for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    place = lambda d, t: (d is not None, d or 0, keys[d, t])
+    wanted = brute_line_dedup({(place(*r), r[1]) for r in texts})
+    found = collections.Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).select("doc_id", "text").collect())
+    assert found == collections.Counter((d, wanted[place(d, t)]) for d, t in texts)
+    assert sum(t != wanted[place(d, t)] for d, t in texts) > 10
