@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_KEYS, bounded, materialize
 from .graph import components
 
 LANE_PAIRS = [(a, b) for a in range(4) for b in range(a)]
@@ -141,27 +141,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) -> Da
 
 #: Min-hash blocking of one_of_each: BANDS keys of ROWS minima; at 0.8 a pair shares a key with probability 0.997.
 BANDS, ROWS = 8, 3
+#: Sets at Jaccard 0.8 have fingerprints at 9.7 bits on average, standard deviation 2.9: one pair in ten millions is beyond.
+FARTHEST = 26
 #: Texts a block of a crowded key, about; two blocks are compared at once.
 BLOCK = 256
 _RNG = np.random.default_rng(6)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+SKETCH = "doc_id long, th long, node long, n long, fp long, keys array<long>"
 
 
 def _sketch(shingle: int):
+    """Of (doc_id, th, text): the node (a hash of the lower-cased words), the number and the fingerprint of its different shingles, its keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, keys = [], []
-            for text in batch.column(1).to_pylist():
+            rows = []
+            for text in batch.column(2).to_pylist():
                 text = text or b""
-                same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
-                h = shingles(text, shingle)
+                h = np.unique(shingles(text, shingle))
+                keys: list[int] = []
                 if len(h):
                     low = np.array([(h * a + b).min() for a, b in zip(_A, _B)]).reshape(BANDS, ROWS)
-                    keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(low)])
-                else:
-                    keys.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+                    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(low)]
+                rows.append((int.from_bytes(xxhash.xxh3_64_digest(b" ".join(text.lower().split())), "big", signed=True), len(h), np.uint64(majority(h)).view(np.int64), keys))
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "th", "node", "n", "fp", "keys"])
 
     return run
 
@@ -183,7 +189,7 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingles(t or b"", shingle)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -211,7 +217,7 @@ def linked(sets: list[np.ndarray], least: float, width: int = 8192) -> np.ndarra
 
 def _compare(least: float):
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_pylist()
+        ids = group.column("node").to_pylist()
         first = linked([np.frombuffer(s, "<u8") for s in group.column("shingles").to_pylist()], least)
         pairs = {(ids[k], v) for k, v in zip(first.tolist(), ids) if ids[k] != v}
         return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
@@ -219,65 +225,91 @@ def _compare(least: float):
     return run
 
 
-def _crowded(many: DataFrame, star: DataFrame, rows: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """Links that join what all pairs under the crowded keys would join: many (band, key, head, doc_id), star (u, v): links to heads.
+def _crowded(many: DataFrame, star: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """Links that join what all pairs under the crowded keys would join: many (band, key, head, node), star (u, v): links to heads.
 
     Texts linked to the head are joined already, so only the others, the strays, are compared with every text
     of the key: in blocks, of which each with strays meets every other one.
     """
-    marked = many.join(star, (F.col("head") == star.u) & (F.col("doc_id") == star.v), "left")
-    marked = marked.select("band", "key", "doc_id", (F.col("v").isNull() & (F.col("doc_id") != F.col("head"))).alias("stray"))
+    marked = many.join(star, (F.least("head", "node") == star.u) & (F.greatest("head", "node") == star.v), "left")
+    marked = marked.select("band", "key", "node", (F.col("v").isNull() & (F.col("node") != F.col("head"))).alias("stray"))
     marked = materialize(marked, "marked")
     counts = marked.groupBy("band", "key").agg(F.count_if("stray").alias("s"), F.count_if(~F.col("stray")).alias("m")).where("s > 0")
     ns, nm = F.ceil(F.col("s") / block), F.ceil(F.col("m") / block)
     placed = marked.join(counts.select("band", "key", ns.alias("ns"), nm.alias("nm")), ["band", "key"])
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("node")
     placed = placed.withColumn("own", F.when(F.col("stray"), F.pmod(h, F.col("ns"))).otherwise(F.col("ns") + F.pmod(h, F.col("nm"))))
     met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ns") + F.col("nm") - 1), lambda x: (x != F.col("own")) & (F.least(x, F.col("own")) < F.col("ns")))
-    met = placed.select("band", "key", "doc_id", "own", F.explode(met).alias("other"))
-    met = met.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("doc_id").alias("of"))
+    met = placed.select("band", "key", "node", "own", F.explode(F.when(F.size(met) > 0, met).otherwise(F.array("own"))).alias("other"))
+    met = met.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("node").alias("of"))
     met = materialize(met, "blocks")
-    own = rows.join(met.select("of").distinct(), F.col("doc_id") == F.col("of"), "left_semi")
-    sets = materialize(own.mapInArrow(_sets(shingle), "doc_id long, shingles binary"), "sets")
-    full = met.join(sets, met.of == sets.doc_id).select("band", "key", "x", "y", "doc_id", "shingles")
+    own = texts.join(met.select("of").distinct(), F.col("node") == F.col("of"), "left_semi")
+    sets = materialize(own.mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
+    full = met.join(sets, met.of == sets.node).select("band", "key", "x", "y", "node", "shingles")
     return full.groupBy("band", "key", "x", "y").applyInArrow(_compare(similarity), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for every row with a doc_id: texts linked at Jaccard `similarity` of their word shingles.
+def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, th, component_id, kept) for every row with a doc_id; th is a hash of the text, for doc_ids that repeat.
 
-    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates, and all
-    candidates are verified on the whole texts: pair by pair under keys of up to `crowd` nodes; under larger
-    ones first against the key's smallest node, then in blocks (_crowded).
+    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates. Those whose
+    numbers of shingles can't reach the similarity go, then those whose distances to some reference fingerprint
+    differ by more than FARTHEST (pivot tables) or whose fingerprints do, and all survivors are verified on the whole
+    texts: pair by pair under keys of up to `crowd` nodes; under larger ones first against the key's smallest
+    node, then in blocks (_crowded). `kept` marks the rows with the smallest (doc_id, th) of their component.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = materialize(rows.mapInArrow(_sketch(shingle), "doc_id long, same binary, keys array<long>"), "sketches")
-    nodes = materialize(found.groupBy("same").agg(F.min("doc_id").alias("rep")), "nodes")
-    heads = found.join(nodes, (found.same == nodes.same) & (found.doc_id == nodes.rep), "left_semi").dropDuplicates(["doc_id", "same"])
-    keyed = materialize(heads.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).where("n > 1")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    found = materialize(rows.mapInArrow(_sketch(shingle), SKETCH), "sketches")
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "th", "n", "fp", "keys")).alias("f"))
+    nodes = materialize(nodes.select("node", "f.*"), "nodes")
+    keyed = nodes.select("node", "n", "fp", _pivots(F.col("fp")).alias("pv"), F.posexplode("keys").alias("band", "key"))
+    keyed = materialize(keyed, "bands")
+    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("head")).where("k > 1")
     sizes = materialize(sizes, "sizes")
-    few = keyed.join(sizes.where(F.col("n") <= crowd).select("band", "key"), ["band", "key"], "left_semi")
+    few = keyed.join(sizes.where(F.col("k") <= crowd).select("band", "key"), ["band", "key"], "left_semi")
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    pairs = pairs.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
-    many = materialize(keyed.join(sizes.where(F.col("n") > crowd).select("band", "key", "head"), ["band", "key"]), "many")
-    pairs = materialize(pairs.unionByName(many.select(F.col("head").alias("u"), F.col("doc_id").alias("v")).where("u < v")).distinct(), "pairs")
-    texts = rows.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    alike = lambda a, b: F.least(f"{a}.n", f"{b}.n") >= similarity * F.greatest(f"{a}.n", f"{b}.n")
+    close = lambda a, b: _near(F.col(f"{a}.pv"), F.col(f"{b}.pv"), FARTHEST) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= FARTHEST)
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & alike("x", "y") & close("x", "y"))
+    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    many = materialize(keyed.select("band", "key", "node").join(sizes.where(F.col("k") > crowd).select("band", "key", "head"), ["band", "key"]), "many")
+    pairs = materialize(pairs.unionByName(many.select(F.col("head").alias("u"), F.col("node").alias("v")).where("u < v")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(many.select(F.col("node").alias("id"))).distinct()
+    wanted = nodes.join(ids, F.col("node") == F.col("id"), "left_semi").select(F.xxhash64("doc_id", "th").alias("place"), "doc_id", "th", "node")
+    wanted = materialize(wanted, "wanted")
+    # most texts have no candidate: they are filtered by key before any shuffle
+    some = rows.withColumn("place", F.xxhash64("doc_id", "th")).join(bounded(wanted.select("place")), "place", "left_semi")
+    texts = some.drop("place").join(wanted.drop("place"), ["doc_id", "th"]).dropDuplicates(["node"]).select("node", "text")
     texts = materialize(texts, "texts")
-    left, right = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
+    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), texts.select(F.col("node").alias("v"), F.col("text").alias("tv"))
     checked = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(_jaccard(shingle, similarity), "u long, v long")
-    checked = materialize(checked.distinct(), "checked")
+    checked = materialize(checked, "checked")
     known = components(checked.unionByName(_crowded(many, checked, texts, shingle, similarity, block)))
-    named = nodes.join(known, nodes.rep == known.node, "left").select(F.col("same").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, found.same == named.of).select("doc_id", "component_id")
+    named = nodes.select("node", "doc_id", "th").join(known.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
+    named = materialize(named.select("node", "doc_id", "th", F.coalesce("component", "node").alias("component")), "named")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    named = named.join(first, "component").select(F.col("node").alias("of"), "first")
+    out = found.select("doc_id", "th", "node").join(named, F.col("node") == F.col("of"))
+    return out.select("doc_id", "th", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("first")).alias("kept"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) for every row with a doc_id: texts linked at Jaccard `similarity` of their word shingles.
+
+    Shingles are taken after lower-casing A-Z; a text of fewer words is one shingle. Null, empty and blank texts are
+    equal and so one group. Rows that share a doc_id but not the text are told apart by the text; rows with a null
+    doc_id are left out; an empty table gives an empty result; other columns are ignored. component_id is the smallest doc_id.
+    """
+    return grouped(docs, shingle, similarity, crowd, block).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is the smallest of its group.
+    """The rows of `docs`, with all their columns, that have the smallest (doc_id, hash of the text) of their group.
 
-    Rows that share a doc_id are one document; rows with a null doc_id stay.
+    Equal rows (doc_id and text) are one document and stay or go together; rows with a null doc_id stay; an empty
+    table gives an empty result; columns of any name travel untouched.
     """
-    groups = similar_groups(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    gone = materialize(groups, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__later"], "left_anti")
+    gone = materialize(grouped(docs, shingle, similarity).where("not kept").select("doc_id", "th").distinct().select(F.xxhash64("doc_id", "th").alias("__place"), F.col("doc_id").alias("__doc"), F.col("th").alias("__th")), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__t")).withColumn("__p", F.xxhash64("__d", "__t"))
+    same = (F.col("__p") == F.col("__place")) & (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__th"))
+    return rows.join(bounded(gone, BROADCAST_KEYS // 3), same, "left_anti").select("__row.*")

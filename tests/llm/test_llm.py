@@ -405,3 +405,29 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, limit):
     found = collections.Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).select("doc_id", "text").collect())
     assert found == collections.Counter((d, wanted[place(d, t)]) for d, t in texts)
     assert sum(t != wanted[place(d, t)] for d, t in texts) > 10
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_one_of_each_tells_rows_of_one_doc_id_apart(spark, monkeypatch, limit):
+    from skaldic.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+    copy, unique, other, third = prose(501, 50), prose(502, 50), prose(503, 50), prose(504, 50)
+    rows = [(1, copy), (2, copy), (2, unique), (3, other), (3, third), (4, other.upper()), (5, third + " end"), (6, third + " end"), (None, copy), (7, ""), (8, None), (9, unique)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, __row string, node int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter([(1, copy), (2, unique), (3, other), (3, third), (None, copy), (7, "")])
+
+
+def test_similar_groups_equal_brute_force_on_near_copies(spark):
+    rng, texts = random.Random(8), []
+    for k in range(30):
+        words = prose(600 + k, 120).split()
+        for c in range(4):
+            copy = words.copy()
+            for at in rng.sample(range(120), c):
+                copy[at] = f"z{k}q{c}"
+            texts.append((4 * k + c, " ".join(copy)))
+    wanted = near_groups(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
