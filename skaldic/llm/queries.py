@@ -74,19 +74,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-#: Tokens of the decontamination; runs of four equal tokens find every overlap, as 13 tokens with 2 substitutions hold one.
+#: Runs of four equal tokens find every overlap of items of 8 tokens or more: 13 tokens with 2 substitutions hold one, as do 8 with 1. Shorter items match as a whole.
 _OVERLAPS = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM d WHERE len(w) >= 6),
-bp AS (SELECT item_id, w, unnest(range(0, len(w) - 3)) AS p FROM b WHERE len(w) >= 6),
+dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM d WHERE len(w) >= 4),
+bp AS (SELECT item_id, w, unnest(range(0, len(w) - 3)) AS p FROM b WHERE len(w) >= 8),
 dg AS (SELECT doc_id, p, w[p + 1] AS t1, w[p + 2] AS t2, w[p + 3] AS t3, w[p + 4] AS t4 FROM dp),
 bg AS (SELECT item_id, p, w[p + 1] AS t1, w[p + 2] AS t2, w[p + 3] AS t3, w[p + 4] AS t4 FROM bp),
-hits AS (SELECT DISTINCT doc_id, item_id, dg.p - bg.p AS diag FROM dg JOIN bg USING (t1, t2, t3, t4)),
+short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 7),
+ds AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM d, short WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, item_id, dg.p - bg.p AS diag FROM dg JOIN bg USING (t1, t2, t3, t4)
+  UNION SELECT doc_id, item_id, p FROM ds JOIN b ON len(b.w) = n AND ds.w[p + 1 : p + n] = b.w),
 cells AS (SELECT doc_id, item_id, diag, len(b.w) AS n, unnest(range(0, len(b.w))) AS k, b.w AS bw, d.w AS dw FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 same AS (SELECT doc_id, item_id, diag, n, k, (diag + k >= 0 AND diag + k < len(dw) AND bw[k + 1] = dw[diag + k + 1])::INT AS s FROM cells),
 runs AS (SELECT doc_id, item_id, diag, n, k, sum(s) OVER (PARTITION BY doc_id, item_id, diag ORDER BY k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS m FROM same),
-found AS (SELECT doc_id, item_id, diag FROM runs GROUP BY doc_id, item_id, diag, n HAVING (n >= 13 AND max(CASE WHEN k >= 12 THEN m END) >= 11) OR (n < 13 AND max(CASE WHEN k = n - 1 THEN m END) = n)),
+found AS (SELECT doc_id, item_id, diag FROM runs GROUP BY doc_id, item_id, diag, n
+  HAVING (n >= 13 AND max(CASE WHEN k >= 12 THEN m END) >= 11) OR (n < 13 AND max(CASE WHEN k = n - 1 THEN m END) >= CASE WHEN n < 8 THEN n ELSE n - 1 END)),
 per AS (SELECT doc_id, count(*) AS n_overlaps, list_sort(list(DISTINCT item_id)) AS items FROM found GROUP BY doc_id)
 SELECT doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_overlaps, 0) AS n_overlaps, coalesce(array_to_string(items, ','), '') AS items
 FROM documents LEFT JOIN per USING (doc_id)"""

@@ -185,9 +185,11 @@ def test_masks_hit_every_window():
     import itertools
 
     masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
-    assert {len(m) for m in masks} == {decontaminate.SEED}
+    assert all("0" in m for m in decontaminate.MASKS)
     for lost in itertools.combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
         assert any(not {at + k for k in m} & set(lost) for m in masks for at in range(decontaminate.WINDOW - m[-1]))
+    short = [k for k, c in enumerate(decontaminate.SHORT_MASK) if c == "1"]
+    assert all(any(lost not in {at + k for k in short} for at in range(decontaminate.SHORT - short[-1])) for lost in range(decontaminate.SHORT))
 
 
 def test_decontamination_tolerates_substitutions(spark, odd, empty, monkeypatch):
@@ -431,3 +433,48 @@ def test_similar_groups_equal_brute_force_on_near_copies(spark):
             texts.append((4 * k + c, " ".join(copy)))
     wanted = near_groups(texts)
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
+
+
+def brute_overlaps(texts, items):
+    """Items of each document by laying every item over every place."""
+    out = {}
+    toks = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    for doc, text in texts:
+        d, out[doc] = toks(text), []
+        for item, content in items:
+            b = toks(content)
+            n, run = len(b), min(len(b), 13)
+            most = 0 if n < 8 else 1 if n < 13 else 2
+            for at in range(-n + 1, len(d)):
+                same = [0 <= at + k < len(d) and d[at + k] == b[k] for k in range(n)]
+                if n and any(sum(same[s : s + run]) >= run - most for s in range(n - run + 1)):
+                    out[doc].append(item)
+    return out
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    rng = random.Random(12)
+    items = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 5, 6, 7, 8, 8, 9, 12, 13, 14, 20, 30])] + [(50, ""), (51, None), (52, "--")]
+    texts = []
+    for k in range(120):
+        words = [f"x{rng.randrange(40)}" for _ in range(rng.randrange(30))]
+        if k % 4:
+            b = items[rng.randrange(14)][1].split()
+            for at in rng.sample(range(len(b)), min(len(b), rng.randrange(4))):
+                b[at] = "other"
+            cut = b[rng.randrange(3) :] if k % 3 == 0 else b
+            words[len(words) // 2 : len(words) // 2] = cut
+        texts.append((k, " ".join(words)))
+    docs, bench = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: (r.n_overlaps, list(r["items"])) for r in decontaminate.flag(docs, bench).collect()}
+    wanted = brute_overlaps([*texts, (900, None), (901, "")], items)
+    assert found == {k: (len(v), sorted(set(v))) for k, v in wanted.items()} and sum(map(bool, wanted.values())) > 30
+
+
+def test_decontamination_tells_rows_of_one_doc_id_apart(spark):
+    item = prose(77, 20)
+    docs = spark.createDataFrame([(1, item), (1, "clean text"), (None, item), (None, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text) for r in decontaminate.clean(docs, bench).collect()) == [(0, "clean"), (1, "clean text")]
