@@ -1,7 +1,7 @@
 """Best-fit packing by exact-complement hashing (operator 1).
 
-Texts are cut into pieces of at most `capacity` tokens. Only the histogram of piece lengths, at most
-`capacity` counts whatever the corpus, reaches the driver. There a plan is made: for every length the gap to
+Texts are cut into pieces of at most `capacity` tokens. Only the histogram of piece lengths reaches the driver:
+`capacity` lengths x BUCKETS hash buckets, and one bucket more for each GROUP pieces of a length. There a plan is made: for every length the gap to
 a full sequence is looked up among single lengths, sums of two and sums of three, and combinations that fill
 it exactly are consumed as often as the counts allow; what is left goes through best-fit decreasing, also on
 counts. The plan says which ranks of a length go to which sequences and offsets, and the ranks are dealt out
@@ -31,73 +31,33 @@ BUCKETS, GROUP = 64, 1_000_000
 CACHE = 400_000
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and never joins across it, so texts are encoded word by word and words
-    are remembered. A new word's parts are merged by a second library that knows the same ranks, with byte
-    0xFF (in no UTF-8 text) for the end of a word; one part in PROBE is compared with the tokenizer, and the
-    first difference sends all further parts to it. Texts with characters beyond Latin-1 or with `<|`
-    (special tokens), and words with control characters, go to the tokenizer as they are.
+    The tokenizer drops white space and never joins across it, so texts are encoded word by word, every word by the
+    tokenizer itself, and words are remembered. Texts with characters beyond Latin-1 or with `<|` (special tokens)
+    go to the tokenizer as they are.
     """
 
-    PROBE = 1024
     #: Latin-1 lowered; its two spaces beyond ASCII become blanks.
     LOWER = bytes(ord(chr(b).lower()) if b not in (0x85, 0xA0) else 32 for b in range(256))
 
     def __init__(self, path: str):
-        import regex
-        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        byte_of, ranks = _byte_of(), {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            if not token.startswith("<|"):
-                ranks[bytes(byte_of[c] for c in token.removesuffix("</w>")) + b"\xff" * token.endswith("</w>")] = i
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.word: dict[str, bytes] = {}
-        self.seen, self.same = 0, True
+        self.word: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def part(self, part: str) -> bytes:
-        if not self.same:
-            return self.whole(part)
-        ids = self.merge(part.encode() + b"\xff")
-        raw = array("I", ids).tobytes()
-        self.seen += 1
-        if self.seen % self.PROBE == 1 and raw != self.whole(part):
-            self.same = False
-            return self.whole(part)
-        return raw
-
-    def new(self, word: bytes) -> bytes:
-        raw = self.word.get(word)
-        if raw is None:
-            if len(self.word) >= CACHE:
-                self.word.clear()
-            text = word.decode("latin-1")
-            if text.isalpha():
-                raw = self.part(text)
-            elif text[:-1].isalpha() and text[-1] in ".,;:!?":
-                raw = self.new(word[:-1]) + self.new(word[-1:]) if len(word) > 1 else self.part(text)
-            elif text.isprintable():
-                raw = b"".join(map(self.part, self.parts(text)))
-            else:
-                raw = self.whole(text)
-            self.word[word] = raw
-        return raw
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.word) >= CACHE:
+            self.word.clear()
+        some = list(words)
+        for w, found in zip(some, self.tokenizer.encode_batch_fast([w.decode("latin-1") for w in some], add_special_tokens=False)):
+            self.word[w] = array("I", found.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         try:
@@ -109,7 +69,8 @@ class WordEncoder:
         words = latin.translate(self.LOWER).split()
         found = list(map(self.word.get, words))
         if None in found:
-            found = [self.new(w) if f is None else f for w, f in zip(words, found)]
+            self.learn({w for w, f in zip(words, found) if f is None} if len(self.word) < CACHE else set(words))
+            found = list(map(self.word.get, words))
         return b"".join(found)
 
 
@@ -272,5 +233,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int = BUCKETS, group:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """cut, written once to the shared folder (the texts are tokenized once), then pack."""
+    """cut, written once to the shared folder (the texts are tokenized once), then pack.
+
+    Null and empty texts are one piece of one id; very long texts become as many pieces as they need; equal rows and
+    rows that share a doc_id or have none are packed each on its own; an empty table gives an empty result; other
+    columns are ignored.
+    """
     return pack(materialize(cut(docs, tokenizer_path, capacity), "pieces"), capacity)
