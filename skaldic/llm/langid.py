@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Sample bounds: about so many texts for each language, so many characters of each, so many bytes in all.
-TEXTS, CHARS, DICTIONARY = 400, 4000, 160_000
-BLOCK, LEVEL = 4096, 3
-#: Texts of up to so many bytes are searched harder, as few matches must decide.
-BRIEF, BRIEF_LEVEL = 400, 19
+#: Bounds of the labelled sample: about so many texts for each language, each whole and of up to so many characters, and so many bytes of dictionary.
+TEXTS, CHARS, DICTIONARY = 400, 20_000, 160_000
+BLOCK, LEVEL = 4096, 7
 #: A second language within this share of the smallest size makes the verdict narrow.
 MARGIN = 0.01
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -36,27 +34,31 @@ def letters(text: str) -> bytes:
 
 
 def dictionaries(docs: DataFrame, learn: Column, texts: int = TEXTS) -> dict[str, bytes]:
-    """Dictionary content by language, from the rows where `learn` holds and lang and text are not null.
+    """Dictionary content by language, from the rows where `learn` holds, lang and text are not null and the text has up to CHARS characters.
 
-    The driver receives one count per language and about `texts` short texts of each.
+    Whole texts fill the dictionary of DICTIONARY bytes in order of a hash; one that no longer fits is passed over.
+    The driver receives one count per language and about `texts` texts of each.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)).alias("h"))
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= CHARS)).select("lang", "text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)).alias("h"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
     limit = F.lit(0).cast("long")
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1 << 30, max(1, (texts << 30) // n)))).otherwise(limit)
-    some = rows.where(F.col("h") < limit).select("lang", F.substring("text", 1, CHARS).alias("text"), "h")
+    some = rows.where(F.col("h") < limit).select("lang", "text", "h")
     found: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in counts}
     for r in some.orderBy("h", "lang", "text").limit(2 * texts * len(counts)).collect():
         found[r.lang].append((r.h, letters(r.text)))
     out = {}
     for lang, parts in found.items():
         seen: dict[bytes, None] = {}
+        room = DICTIONARY
         for _, part in parts:
-            seen.setdefault(part)
-        out[lang] = b" ".join(seen)[:DICTIONARY]
+            if part not in seen and len(part) < room:
+                seen[part] = None
+                room -= len(part) + 1
+        out[lang] = b" ".join(seen)
     return {k: v for k, v in sorted(out.items(), key=lambda x: (-counts[x[0]], x[0])) if len(v) >= 8}
 
 
@@ -65,22 +67,19 @@ def identify(docs: DataFrame, known: dict[str, bytes], margin: float = MARGIN) -
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or where no language is known; the
     score is the winner's share of exp(-excess size / 2 % of the smallest). Ties go to the language
-    that comes first in `known`, the most frequent one.
+    that comes first in `known`, the most frequent one (then the first by name). Very long texts count whole, block by
+    block; repeated rows and null doc_ids are ordinary rows; an empty table gives an empty result.
     """
     names = list(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
 
-        def packers(level: int) -> list:
-            out = []
-            for content in known.values():
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            return out
-
-        usual, hard = packers(LEVEL), packers(BRIEF_LEVEL)
+        packers = []
+        for content in known.values():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            packers.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
@@ -89,7 +88,7 @@ def identify(docs: DataFrame, known: dict[str, bytes], margin: float = MARGIN) -
                     out.append(("und", 0.0, 0.0, True))
                     continue
                 blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
-                sizes = [sum(len(pack(b)) for b in blocks) for pack in (hard if len(raw) <= BRIEF else usual)]
+                sizes = [sum(len(pack(b)) for b in blocks) for pack in packers]
                 best = min(sizes)
                 at = sizes.index(best)
                 second = min((s for k, s in enumerate(sizes) if k != at), default=2 * best)
