@@ -3,7 +3,8 @@
 Words and pairs of adjacent words fall into BUCKETS hash buckets. Counts over the trusted documents and over
 all documents give two smoothed multinomials; a document's ratio is the sum of log p_trusted - log p_raw over its
 n-grams, in whole millionths so that sums do not depend on order, divided by their number. Documents that
-pass the base rules are kept if the ratio reaches the threshold; nothing is drawn at random.
+pass the base rules are kept if the ratio reaches a threshold, by default a low quantile of the trusted documents'
+own ratios, counted in steps over all of them; nothing is drawn at random.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, shifted, words_fast
+from .common import SPACE_CHARS, bounded, materialize, shifted, words_fast
 
 BUCKETS = 10_000
 SYMBOLS = "[#*$%&|<>]"
 REPEAT = 8
-#: Nats per n-gram.
-THRESHOLD = -0.065
+#: The threshold is the ratio that this share of the trusted documents that pass the base rules stays below, to a step of 1 / STEPS nats.
+SHARE, STEPS = 0.001, 1000
 
 
 def _buckets(pair: Column) -> list[Column]:
@@ -41,6 +42,7 @@ def bucket_counts(docs: DataFrame) -> dict[int, int]:
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """log p_trusted - log p_raw of each bucket in millionths; add-one smoothing. All 0 without a trusted text."""
     ids = trusted.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
+    ids = bounded(materialize(ids.withColumn("__id", F.col("__id").cast("long")), "trusted"))  # the texts are not shuffled for a set of ids that is proven small
     good = bucket_counts(docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi"))
     if not good:
         return [0] * BUCKETS
@@ -49,11 +51,25 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     return [round(1e6 * (math.log((good.get(b, 0) + 1) / n_good) - math.log((raw.get(b, 0) + 1) / n_raw))) for b in range(BUCKETS)]
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def threshold_of(scored: DataFrame, trusted: DataFrame, share: float = SHARE) -> float:
+    """The ratio below which `share` of the trusted rows that pass the base rules lie, rounded down to a step; -inf without such rows."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct()
+    good = scored.where("not base_failed").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    steps = sorted((r.step, r.n) for r in good.groupBy(F.floor(F.col("llr") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())  # ratios are a few nats wide
+    left = share * sum(n for _, n in steps)
+    for step, n in steps:
+        left -= n
+        if left < 0:
+            return step / STEPS
+    return -math.inf
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:
     """The base counts, the ratio `llr` (nats per n-gram; 0 without n-grams) and `kept` for every row of `docs`.
 
-    Null text counts as no words; repeated rows and a null doc_id are ordinary rows; no trusted document means
-    that only the base rules decide; an empty table gives an empty result. Other columns are ignored.
+    Without a threshold, threshold_of() gives it. Null text counts as no words; very long texts count whole; repeated
+    rows and a null doc_id are ordinary rows; no trusted document means that only the base rules decide; an empty
+    table gives an empty result. Other columns are ignored.
     """
     table = F.split(F.lit(",".join(map(str, weights(docs, trusted)))), ",").cast("array<bigint>")  # folded to one literal
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -80,4 +96,6 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     df = df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "ratio")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed).withColumn("llr", F.col("ratio") / 1e6 / F.greatest(2 * F.col("n_words") - 1, F.lit(1)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("ratio")
+    df = materialize(df.drop("ratio"), "scored")  # numbers only
+    least = threshold_of(df, trusted) if threshold is None else threshold
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
