@@ -24,7 +24,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     joined in order of position; loss_start..loss_end covers the assistant's words and the closing marker and is
     empty (at `end`) for other turns. Turns are ordered by turn (null first), then role and text. Null text counts as empty, null
     role is a participant `unknown`, rows with a null conv_id form one conversation; equal rows each count as a
-    turn; markers inside texts are broken by a zero-width space. A conversation of system turns only, having no
+    turn; markers inside texts are broken by a zero-width space. Names of users are their roles, percent-encoded, so
+    that no two roles share one (an empty role is `%`). Turns without a number, or with equal ones, are summed by one task. A conversation of system turns only, having no
     participant, gives no rows. Other columns are ignored.
     """
     role = F.coalesce("role", F.lit("unknown"))
@@ -32,7 +33,7 @@ def perspectives(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("c"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("t"), role.alias("role"), text.alias("text"))
     people = rows.where("role <> 'system'").groupBy("c", F.col("role").alias("perspective")).agg(F.count(F.lit(1)).alias("own")).select(F.col("c").alias("pc"), "perspective")
     rows = rows.join(people, F.col("c") == F.col("pc")).drop("pc")
-    name = F.regexp_replace("role", r"[\s<>|=]+", "_")
+    name = F.when(F.col("role") == "", F.lit("%")).otherwise(F.url_encode("role"))
     head = F.when(F.col("role") == "system", F.lit(f"{OPEN}system\n")).when(F.col("role") == F.col("perspective"), F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
     rows = rows.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "text", F.lit(f"{CLOSE}\n"))).withColumn("size", F.length("segment")).withColumn("b", F.floor(F.col("t") / TURNS)).drop("text")
     blocks = rows.groupBy("c", "perspective", "b").agg(F.sum("size").alias("chars"), F.count(F.lit(1)).alias("n"))
