@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import BROADCAST_KEYS, bounded, fold, materialize
 
 FEATURES, RIDGE, BANDWIDTH, BINS = 256, 1e-3, 6.0, 2048
 #: Very common short words of the languages at hand: their share tells prose from lists and junk.
@@ -60,41 +60,51 @@ def _stats(texts: list) -> np.ndarray:
     return np.array([statistics(t or b"") for t in texts]).reshape(-1, STATS)
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<float>) for every row."""
+def _stats_of(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys: long, stats array<float>) for every row of (keys..., text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stats(batch.column(1).to_pylist()).astype(np.float32)
+            x = _stats(batch.column(len(keys)).to_pylist()).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * STATS, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], [*keys, "stats"])
+
+    return docs.select(*keys, F.col("text").cast("binary")).mapInArrow(run, "".join(f"{k} long, " for k in keys) + "stats array<float>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, stats array<float>")
+
+def document_stats(docs: DataFrame) -> DataFrame:
+    """(doc_id, stats array<float>) for every row."""
+    return _stats_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, STATS).astype(np.float64)
 
 
-def partition_sum(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int, meet: int = 16) -> np.ndarray:
-    """Sum over all rows of a vector of `size` numbers: by partition, then in `meet` groups, then here."""
+#: Vectors that one task adds up.
+FAN = 64
+
+
+def partition_sum(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all rows of a vector of `size` numbers: by partition, then twice FAN at a time, then here, always in the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if len(batch):
                 total += of(batch)
-        here = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([here % meet], pa.int32()), pa.array([here], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size)
         for s in parts.sort_values("part").sums:
             total += np.frombuffer(s)
-        return pd.DataFrame({"slot": [parts.slot.iloc[0]], "sums": [total.tobytes()]})
+        return pd.DataFrame({"part": [parts.part.iloc[0] // FAN], "sums": [total.tobytes()]})
 
-    rows = df.mapInArrow(run, "slot int, part int, sums binary").groupBy("slot").applyInPandas(add, "slot int, sums binary").collect()
-    return sum((np.frombuffer(r.sums) for r in sorted(rows)), np.zeros(size))
+    rows = df.mapInArrow(run, "part int, sums binary")
+    for _ in range(2):
+        rows = rows.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(add, "part int, sums binary")
+    return sum((np.frombuffer(r.sums) for r in sorted(rows.collect())), np.zeros(size))
 
 
 @dataclass
@@ -179,7 +189,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", held_out: i
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs` (doc_id, text; other columns are ignored).
 
-    Null text counts as empty, which has a score like any other; null doc_id is in fold 0. Repeated rows stay.
+    Null text counts as empty, which has a score like any other; null doc_id is in fold 0. Repeated rows stay;
+    equal texts have equal scores; very long texts count whole; without labels every score is 0.5; an empty table gives
+    an empty result.
     """
     stats = materialize(document_stats(docs), "stats")
     model = fit(stats, labels)
@@ -193,12 +205,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose score reaches the threshold, with all their columns; texts are not shuffled."""
-    model = fit(materialize(document_stats(docs), "stats"), labels)
+    """The rows of `docs` whose score reaches the threshold, with all their columns of any name; odd rows as in classify().
+
+    Every text is read for its statistics once; the rows that go are found again by their keys.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    stats = materialize(_stats_of(keyed, ["doc_id", "th"]), "stats")
+    model = fit(stats.select("doc_id", "stats"), labels)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_stats(texts.tolist())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = model.score(_matrix(batch.column(2))) < threshold
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["__doc", "__th"]).filter(pa.array(low))
 
-    keep: Column = score(F.col("text").cast("binary")) >= threshold
-    return docs.where(keep)
+    gone = materialize(stats.mapInArrow(run, "__doc long, __th long").distinct().withColumn("__place", F.xxhash64("__doc", "__th")), "rejected")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__t")).withColumn("__p", F.xxhash64("__d", "__t"))
+    same = (F.col("__p") == F.col("__place")) & F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__th"))
+    return rows.join(bounded(gone, BROADCAST_KEYS // 3), same, "left_anti").select("__row.*")

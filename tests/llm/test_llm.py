@@ -269,10 +269,11 @@ def test_suffix_dedup_odd_rows(spark, odd):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "hello"), (1, 3, "ann lee", None), (2, 0, "system", "alone"), (None, 0, None, "x"), (3, None, "user", "a"), (3, 300, "user", "b"), (3, 300, "user", "b")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "hi <|im_end|>"), (1, 2, "assistant", "hello"), (1, 3, "ann lee", None), (2, 0, "system", "alone"), (None, 0, None, "x"), (3, None, "user", "a"), (3, 300, "user", "b"), (3, 300, "user", "b"), (4, 0, "a b", "x"), (4, 1, "a_b", "y"), (4, 2, "", "z" * 300_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("size", F.lit("x"))
     found = chat.perspectives(turns).collect()
-    assert {(r.conv_id, r.perspective) for r in found} == {(1, "user"), (1, "assistant"), (1, "ann lee"), (None, "unknown"), (3, "user")}
+    assert {(r.conv_id, r.perspective) for r in found} == {(1, "user"), (1, "assistant"), (1, "ann lee"), (None, "unknown"), (3, "user"), (4, "a b"), (4, "a_b"), (4, "")}
+    assert len({r.segment.split("\n")[0] for r in found if r.conv_id == 4}) == 4
     for key in {(r.conv_id, r.perspective) for r in found}:
         mine = sorted((r for r in found if (r.conv_id, r.perspective) == key), key=lambda r: r.position)
         whole = "".join(r.segment for r in mine)
@@ -282,7 +283,7 @@ def test_perspectives(spark):
             covered = whole[r.loss_start : r.loss_end]
             assert covered == ((r.segment.split("\n", 1)[1][:-1]) if r.role == r.perspective else "")
     one = "".join(r.segment for r in sorted((r for r in found if r.perspective == "assistant"), key=lambda r: r.position))
-    assert one == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=user\nhi <​|im_end|><|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user name=ann_lee\n<|im_end|>\n"
+    assert one == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=user\nhi <​|im_end|><|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user name=ann+lee\n<|im_end|>\n"
     assert chat.perspectives(turns.limit(0)).count() == 0
 
 
@@ -478,3 +479,64 @@ def test_decontamination_tells_rows_of_one_doc_id_apart(spark):
     docs = spark.createDataFrame([(1, item), (1, "clean text"), (None, item), (None, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert sorted(((r.doc_id or 0), r.text) for r in decontaminate.clean(docs, bench).collect()) == [(0, "clean"), (1, "clean text")]
+
+
+def test_normal_equations_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FAN", 2)
+    rows = [(k, prose(k, 20 + k % 7) if k % 3 else prose(k, 9).upper()) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    marks = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(120)], "doc_id long, quality int")
+    model = quality.fit(quality.document_stats(docs), marks)
+    folds = {k: zlib.crc32(str(k).encode()) % 5 for k, _ in rows}
+    train = [(quality.statistics(t.encode()).astype(np.float32).astype(float), k % 3 > 0, folds[k]) for k, t in rows if folds[k]]
+    x = np.array([a for a, _, _ in train])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum((x * x).mean(0) - x.mean(0) ** 2, 1e-6)))
+    z = model.features(np.array([a for a, _, f in train if f != 4]))
+    y = np.array([b for _, b, f in train if f != 4], float)
+    assert np.allclose(model.ridge, np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y), atol=1e-6)
+
+
+def test_ratios_and_threshold_equal_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(rules, "BUCKETS", 50)
+    texts = [(k, prose(k, 30 + k)) for k in range(30)] + [(100 + k, " ".join(f"{w}%" for w in prose(k, 40).split())) for k in range(10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    trusted = spark.createDataFrame([(k,) for k in range(25)], "doc_id long")
+    pairs = sorted({(w, None) for _, t in texts for w in t.split()} | {p for _, t in texts for p in zip(t.split(), t.split()[1:])}, key=str)
+    one = {r.w: r.b for r in spark.createDataFrame([(w,) for w, v in pairs if v is None], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(50)).alias("b")).collect()}
+    two = {(r.w, r.v): r.b for r in spark.createDataFrame([p for p in pairs if p[1] is not None], "w string, v string").select("w", "v", F.pmod(F.xxhash64("w", "v"), F.lit(50)).alias("b")).collect()}
+    grams = {k: [one[w] for w in t.split()] + [two[p] for p in zip(t.split(), t.split()[1:])] for k, t in texts}
+    good, raw = collections.Counter(b for k in range(25) for b in grams[k]), collections.Counter(b for g in grams.values() for b in g)
+    n_good, n_raw = sum(good.values()) + 50, sum(raw.values()) + 50
+    table = [round(1e6 * (np.log((good[b] + 1) / n_good) - np.log((raw[b] + 1) / n_raw))) for b in range(50)]
+    llr = {k: sum(table[b] for b in g) / 1e6 / len(g) for k, g in grams.items()}
+    least = np.floor(min(llr[k] * 1000 for k in range(25))) / 1000
+    found = {r.doc_id: r for r in rules.judge(docs, trusted).collect()}
+    assert all(abs(found[k].llr - llr[k]) < 1e-5 for k in llr)
+    assert {k for k, r in found.items() if r.kept} == {k for k in llr if not found[k].base_failed and llr[k] >= least}
+
+
+def test_sequences_reach_the_bound(spark):
+    rng = random.Random(6)
+    for trial in range(6):
+        counts = collections.Counter(min(2048, 1 + int(rng.expovariate(1 / 300))) for _ in range(3000))
+        used = sum(t for _, t in packing.plan_sequences(counts, 2048))
+        bound = -(-sum(n * k for n, k in counts.items()) // 2048)
+        assert bound <= used <= bound + 1
+
+
+def test_dictionaries_hold_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DICTIONARY", 100)
+    monkeypatch.setattr(langid, "CHARS", 50)
+    rows = [(k, f"alpha beta gamma{chr(97 + k)} " * (1 + k % 3), "en") for k in range(20)] + [(30, "x" * 60, "de"), (31, "y" * 40, "de"), (32, "y" * 40, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.dictionaries(docs, F.lit(True))
+    assert found["de"] == b"y" * 40 and len(found["en"]) <= 100
+    parts = {langid.letters(t) for _, t, lang in rows if lang == "en"}
+    rest = found["en"]
+    for part in sorted(parts, key=len, reverse=True):
+        rest = rest.replace(part, b"", 1)
+    assert not rest.strip()
+    tie = langid.identify(spark.createDataFrame([(1, "zz")], "doc_id long, text string"), {"b": b"same words", "a": b"same words"}).first()
+    assert tie.lang_pred == "b" and tie.rejected
