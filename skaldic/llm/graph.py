@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy(u.alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        least = materialize(both.groupBy(u.alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")  # stored: the join below can then split a very common node
         large = both.join(least, both.u == least.c).where(v > u).select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy(u.alias("c")).agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        down = materialize(large.groupBy(u.alias("c")).agg(F.min("v").alias("m")), "down")
         joined = large.join(down, large.u == down.c)
         small = joined.select(F.explode(F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialize(small, "edges")
