@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .morphology import GLAED, _finish
+from .morphology import _finish
 
 # Strong endings as `function ending probability`. < is the plain stem, > the changed one; what stands before the hyphen belongs to the stem.
 STRONG = {
-    "glæd": ", ".join(f"{e.split()[0]} -{e.split()[1]} {e.split()[2]}" for e in GLAED.split(", ")),
+    "glæd": (
+        "<SgMaNo -0 0, <SgMaAc -ne 0, <SgMaAc -0 1, >SgMaGe -es 0, >SgMaDa -um 0, >SgMaDa -0 1, >SgMaIs -e 0, <SgNeNo -0 0, <SgNeAc -0 0, >SgNeGe -es 0, >SgNeDa -um 0, >SgNeDa -0 1, >SgNeIs -e 0, >SgFeNo -u 0, "
+        ">SgFeNo -o 1, >SgFeAc -0 0, <SgFeGe -re 0, <SgFeGe -0 1, <SgFeDa -re 0, <SgFeDa -0 1, >PlMaNo -e 0, >PlMaNo -0 1, >PlMaAc -e 0, >PlMaAc -0 1, <PlMaGe -ra 0, <PlMaGe -0 1, >PlMaDa -um 0, >PlNeNo -u 0, "
+        ">PlNeNo -o 1, >PlNeAc -u 0, >PlNeAc -o 1, <PlNeGe -ra 0, <PlNeGe -0 1, >PlNeDa -um 0, >PlFeNo -a 0, >PlFeNo -o 1, >PlFeAc -a 0, >PlFeAc -o 1, <PlFeGe -ra 0, <PlFeGe -0 1, >PlFeDa -um 0"
+    ),
     "blind": (
         "<SgMaNo -0 0, <SgMaAc -ne 0, <SgMaAc -0 1, <SgMaGe -es 0, <SgMaDa -um 0, <SgMaDa -0 1, <SgMaIs -e 0, <SgNeNo -0 0, <SgNeAc -0 0, <SgNeGe -es 0, <SgNeDa -um 0, <SgNeDa -0 1, <SgNeIs -e 0, "
         "<SgFeNo -0 0, <SgFeAc -e 0, <SgFeGe -re 0, <SgFeGe -0 1, <SgFeDa -re 0, <SgFeDa -0 1, <PlMaNo -e 0, <PlMaNo -0 1, <PlMaAc -e 0, <PlMaAc -0 1, <PlMaGe -ra 0, <PlMaGe -0 1, <PlMaDa -um 0, "

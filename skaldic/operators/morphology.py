@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.storage import stored
+from ..storage import stored
 
 # Endings of the noun paradigms. A step is `builder: function ending, ...`; 0 is no ending.
 NOUN_ENDINGS = {
@@ -41,12 +41,6 @@ NOUN_SECTIONS = [
     ("380|381", "beadu"), ("401", "guma"), ("402", "fréa"), ("404", "tunge"), ("405", "béo"), ("407", "éage"), ("418", "wígend"),
 ]
 ADJECTIVE_SECTIONS = [("426", "blind"), ("428", "héah"), ("430", "manig"), ("431", "hálig"), ("434", "wilde"), ("436", "gearu"), ("437", "blind")]
-# The strong endings of glæd and til as `function ending probability`; < takes the plain stem, > the one with a.
-GLAED = (
-    "<SgMaNo 0 0, <SgMaAc ne 0, <SgMaAc 0 1, >SgMaGe es 0, >SgMaDa um 0, >SgMaDa 0 1, >SgMaIs e 0, <SgNeNo 0 0, <SgNeAc 0 0, >SgNeGe es 0, >SgNeDa um 0, >SgNeDa 0 1, >SgNeIs e 0, "
-    ">SgFeNo u 0, >SgFeNo o 1, >SgFeAc 0 0, <SgFeGe re 0, <SgFeGe 0 1, <SgFeDa re 0, <SgFeDa 0 1, >PlMaNo e 0, >PlMaNo 0 1, >PlMaAc e 0, >PlMaAc 0 1, <PlMaGe ra 0, <PlMaGe 0 1, >PlMaDa um 0, "
-    ">PlNeNo u 0, >PlNeNo o 1, >PlNeAc u 0, >PlNeAc o 1, <PlNeGe ra 0, <PlNeGe 0 1, >PlNeDa um 0, >PlFeNo a 0, >PlFeNo o 1, >PlFeAc a 0, >PlFeAc o 1, <PlFeGe ra 0, <PlFeGe 0 1, >PlFeDa um 0"
-)
 # Ordered changes of second person forms; adverb endings with their probabilities.
 SECOND_PERSON = [("dst", "tst"), ("þst", "tst"), ("tst", "st"), ("ngst", "ncst"), ("ncst", "nst"), ("gst", "hst"), ("hst", "xst")]
 THIRD_PERSON = [("[td]þ$", "tt"), ("[dt]t$", "t"), ("þþ", "þ"), ("þ$", "t"), ("sþ$", "st"), ("ngþ$", "ncþ"), ("gþ$", "hþ")]
@@ -79,13 +73,14 @@ def stem_builder(name: str, stem: Column) -> Column:
     return made[name]()
 
 
-def _inflect(endings: Column):
-    """A function of a stem and its place: the stem with every ending."""
-
-    def run(s: Column, i: Column) -> Column:
-        return F.transform(endings, lambda e: F.struct(e["step"].alias("step"), i.alias("stem_ord"), e["ord"].alias("ord"), e["function"].alias("function"), e["ending"].alias("ending"), s.alias("s")))
-
-    return run
+def steps() -> list[tuple]:
+    """The noun table: (name, step, builder, [(ord, function, ending)]), some eighty rows whatever the words."""
+    rows = []
+    for name, table in NOUN_ENDINGS.items():
+        for k, step in enumerate(table.split("|")):
+            builder, ends = step.split(": ")
+            rows.append((name, k, builder, [(j, *e.split()) for j, e in enumerate(ends.split(", "))]))
+    return rows
 
 
 def with_reduced(forms: DataFrame) -> DataFrame:
@@ -118,16 +113,17 @@ def noun_forms(words: DataFrame, compat: bool = True) -> DataFrame:
         rows = rows.withColumn("table", F.when(first, "word").otherwise(F.col("paradigm"))).withColumn("paradigm", F.when(first, F.coalesce(F.get("paradigms", F.col("copy")), F.lit(""))).otherwise(F.col("paradigm")))
     if "table" not in rows.columns:
         rows = rows.withColumn("copy", F.lit(0)).withColumn("table", F.col("paradigm"))
-    out = None
-    for name, table in NOUN_ENDINGS.items():
-        steps = []
-        for k, step in enumerate(table.split("|")):
-            builder, ends = step.split(": ")
-            ending = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(j).alias("ord"), F.lit(e.split()[0]).alias("function"), F.lit(e.split()[1]).alias("ending")) for j, e in enumerate(ends.split(", "))])
-            steps.append(F.flatten(F.transform(stem_builder(builder, F.col("stem")), _inflect(ending))))
-        found = F.when(F.col("table").contains(name), F.concat(*steps))
-        out = found if out is None else out.when(F.col("table").contains(name), F.concat(*steps))
-    rows = rows.select("nid", "title", "stem", "prefix", "wright", "para_ord", "copy", "paradigm", F.when(F.col("table").isin(*WEAK), "weak").otherwise("strong").alias("class1"), F.explode(out).alias("e")).select("*", "e.*").drop("e")
+    name = F.lit(None).cast("string")
+    for known in reversed(NOUN_ENDINGS):  # the first table whose name the label holds
+        name = F.when(F.col("table").contains(known), known).otherwise(name)
+    table = words.sparkSession.createDataFrame(steps(), "name string, step int, builder string, ends array<struct<ord: int, function: string, ending: string>>")
+    class1 = F.when(F.col("table").isin(*WEAK), "weak").otherwise("strong").alias("class1")
+    rows = rows.select("nid", "title", "stem", "prefix", "wright", "para_ord", "copy", "paradigm", class1, name.alias("name"))
+    rows = rows.join(F.broadcast(table), "name")  # a table of fixed size
+    stems = F.lit(None).cast("array<string>")
+    for builder in sorted({b for _, _, b, _ in steps()}):
+        stems = F.when(F.col("builder") == builder, stem_builder(builder, F.col("stem"))).otherwise(stems)
+    rows = rows.select("*", F.posexplode(stems).alias("stem_ord", "s")).select("*", F.inline("ends")).drop("name", "builder", "ends")
     return _finish(rows.withColumn("probability", F.lit("")), 6, "noun")
 
 
@@ -140,17 +136,6 @@ def adverb_forms(words: DataFrame) -> DataFrame:
     return _finish(rows, 4, "adverb")
 
 
-def adjective_strong_forms(words: DataFrame) -> DataFrame:
-    """Strong positive forms of words whose paradigm is glæd or til."""
-    ends = []
-    for k, e in enumerate(GLAED.split(", ")):
-        function, ending, probability = e[1:].split()
-        back = F.when(F.col("paradigm") == "glæd", F.regexp_replace("stem", "æ|Æ|(?i:ea)", "a")).otherwise(F.col("stem"))
-        ends.append(F.struct(F.lit(k).alias("ord"), F.lit(f"Po{function}").alias("function"), F.lit(ending).alias("ending"), F.lit(probability).alias("probability"), (back if e[0] == ">" else F.col("stem")).alias("s")))
-    rows = words.where(F.col("paradigm").isin("glæd", "til")).select("nid", "title", "stem", "prefix", "wright", "paradigm", F.explode(F.array(*ends)).alias("e")).select("*", "e.*").drop("e")
-    return _finish(rows.withColumn("class1", F.lit("strong")), 3, "adjective")
-
-
 def derived(form: Column, rules: list[tuple[str, str]], literal: bool = False) -> Column:
     """The forms after each rule that changes what the rules before have left."""
     made, now = F.array().cast("array<string>"), form
@@ -162,12 +147,22 @@ def derived(form: Column, rules: list[tuple[str, str]], literal: bool = False) -
     return F.array_compact(F.concat(made, F.array(*steps)))
 
 
-def sound_changes(forms: DataFrame) -> DataFrame:
-    """Forms of (function, form, ...) and, after each, what the ordered sound changes derive from it, with `change` from 0."""
-    form = F.col("form")
-    more = F.when(F.col("function") == "PsInSg2", derived(form, SECOND_PERSON, True)).when(F.col("function") == "PsInSg3", derived(form, THIRD_PERSON)).when(F.col("function") == "PaPt", derived(form, PAST_PARTICIPLE)).otherwise(F.array().cast("array<string>"))
-    keep = [c for c in forms.columns if c != "form"]
-    return forms.select(*keep, F.posexplode(F.concat(F.array(form), more)).alias("change", "form"))
+def changed(function: Column, form: Column) -> Column:
+    """What the ordered sound changes of a function make of a form, one after the other."""
+    none = F.array().cast("array<string>")
+    return F.when(function == "PsInSg2", derived(form, SECOND_PERSON, True)).when(function == "PsInSg3", derived(form, THIRD_PERSON)).when(function == "PaPt", derived(form, PAST_PARTICIPLE)).otherwise(none)
+
+
+def sound_changes(forms: DataFrame, delta: int = 1) -> DataFrame:
+    """Forms of (function, form, ...) and, after each, what the ordered sound changes derive from it, with `change` from 0.
+
+    Where there is a probability, derived forms have `delta` more; an empty one becomes 0.
+    """
+    keep = [c for c in forms.columns if c not in ("form", "probability")]
+    raised = F.when(F.coalesce("probability", F.lit("")) == "", "0").otherwise((F.col("probability").try_cast("int") + delta).cast("string")) if "probability" in forms.columns else None
+    extra = [] if raised is None else ["probability"]
+    rows = forms.select(*keep, *extra, F.posexplode(F.concat(F.array("form"), changed(F.col("function"), F.col("form")))).alias("change", "form"))
+    return rows if raised is None else rows.withColumn("probability", F.when(F.col("change") > 0, raised).otherwise(F.col("probability")))
 
 
 def noun_paradigms(words: DataFrame) -> DataFrame:
@@ -213,15 +208,6 @@ def adjective_paradigms(words: DataFrame) -> DataFrame:
     return df.join(by_stem, "stem", "left").withColumn("paradigm", F.coalesce("own", "shared", shape)).drop("own", "shared")
 
 
-def verb_forms(verbs: DataFrame, paradigms: DataFrame, endings: DataFrame) -> DataFrame:
-    """Words x paradigm parts x endings: verbs (nid, title, stem, prefix, para_id), paradigms (para_id, variant_id, part_ord, part, prefix, pre_vowel, vowel, post_vowel, boundary, dental), endings (part, ord, function, ending, probability)."""
-    parts = paradigms.withColumnRenamed("prefix", "part_prefix")
-    rows = verbs.join(parts, "para_id").join(F.broadcast(endings), "part")
-    made = F.concat_ws("-", "prefix", "pre_vowel", "vowel", "post_vowel", "boundary", "dental", "ending")
-    rows = rows.withColumn("form_parts", made).withColumn("form", S.materialize_form(made))
-    return with_reduced(sound_changes(rows).withColumn("wordclass", F.lit("verb")).withColumn("stage", F.lit(2)))
-
-
 def numbered(forms: DataFrame, order: list[str]) -> DataFrame:
     """Add counter from 0 in the stated order, counting in ranges: sorted partitions, then the partitions' sums."""
     from pyspark.sql.window import Window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
-from ..plans.storage import stored
+from ..storage import stored
 
 FLAGS = ("vb_strong", "vb_weak", "vb_pretpres", "vb_anomalous", "vb_uncertain")
 

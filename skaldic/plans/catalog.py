@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import udfs
-from ..operators import completions, declension, diacritics, ingest, morphology, ocr
+from ..operators import completions, conjugation, declension, diacritics, ingest, morphology, ocr
 from ..sources import tei
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,81 @@ def sound_changes(spark, sf_dir):
     return morphology.sound_changes(forms).select("nid", "change", "form").where("change < 3")
 
 
+def _change_sql(form: str, rules: list[tuple[str, str]], literal: bool) -> str:
+    """The list of forms that ordered changes derive, as SQL."""
+    made, now = [], form
+    for old, new in rules:
+        after = f"replace({now}, '{old}', '{new}')" if literal else f"regexp_replace({now}, '{old}', '{new}', 'g')"
+        made.append(f"CASE WHEN {after} <> {now} THEN {after} END")
+        now = after
+    return f"list_filter([{', '.join(made)}], lambda x: x IS NOT NULL)"
+
+
+#: Paradigms of the query below: a strong and a weak one, all parts.
+_PARADIGMS = [
+    ("9", "helpan", "s", "3", "", 0, 0, "if", "0", "h", "e", "lp", "0", "0", "an"), ("9", "helpan", "s", "3", "", 0, 1, "painsg1", "0", "h", "ea", "lp", "0", "0", "0"),
+    ("9", "helpan", "s", "3", "", 0, 2, "painpl", "0", "h", "u", "lp", "0", "0", "on"), ("9", "helpan", "s", "3", "", 0, 3, "papt", "ge", "h", "o", "lp", "0", "0", "en"),
+    ("50", "fremman", "w", "1", "", 0, 0, "if", "0", "fr", "e", "mm", "0", "0", "an"), ("50", "fremman", "w", "1", "", 0, 1, "psinsg2", "0", "fr", "e", "m", "0", "0", "est"),
+    ("50", "fremman", "w", "1", "", 0, 2, "painsg1", "0", "fr", "ea", "m", "0", "ed", "e"), ("50", "fremman", "w", "1", "", 1, 3, "papt", "0", "fr", "e", "m", "0", "ed", "0"),
+    ("90", "habban", "w", "3", "", 0, 0, "if", "0", "h", "a", "bb", "0", "0", "an"), ("90", "habban", "w", "3", "", 0, 1, "pspt", "0", "h", "ae", "bb", "0", "0", "ende"),
+    ("60", "lufian", "w", "2", "", 0, 0, "if", "0", "l", "u", "0", "i", "0", "ian"),
+]
+_PARADIGM_COLUMNS = "para_id string, paradigm string, type string, class2 string, class3 string, variant_id int, part_ord int, part string, prefix string, pre_vowel string, vowel string, post_vowel string, boundary string, dental string, ending string"
+_value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+_values = lambda rows: ", ".join(f"({', '.join(map(_value, r))})" for r in rows)
+_BASE = "concat_ws('-', prefix, pre_vowel, active, post_vowel, boundary)"
+
+
+def _verbs(spark, sf_dir):
+    stem = F.lower(F.regexp_extract("p_name", "([A-Za-z]+)$", 1))
+    stem = F.when(F.col("p_partkey") % 4 == 2, F.concat(stem, F.lit("ian"))).otherwise(F.concat(stem, F.lit("an")))
+    para = F.element_at(F.array(*[F.lit(x) for x in ("9", "50", "60", "90")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    words = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), stem.alias("title"), stem.alias("stem"), F.lit("0").alias("prefix"), F.lit("").alias("wright"), para.alias("para_id"))
+    return conjugation.conjugate(words, spark.createDataFrame(_PARADIGMS, _PARADIGM_COLUMNS))
+
+
+_VERBS = f"""
+WITH words AS (SELECT p_partkey AS nid, lower(regexp_extract(p_name, '([A-Za-z]+)$', 1)) || CASE WHEN p_partkey % 4 = 2 THEN 'ian' ELSE 'an' END AS stem, ['9', '50', '60', '90'][p_partkey % 4 + 1] AS para_id FROM part),
+p(para_id, paradigm, type, class2, class3, var, part_ord, part, item_prefix, item_pre, item_vowel, item_post, boundary, item_dental, item_ending) AS (VALUES {_values(_PARADIGMS)}),
+e(branch, block, ord, ending, function, added, delta, dental, need, vowels) AS (VALUES {_values(conjugation.ending_rows())}),
+seeds AS (SELECT para_id, max(CASE WHEN var = 0 AND part = 'if' AND boundary <> '0' THEN boundary ELSE '' END) AS boundary_inf, max(CASE WHEN var = 0 AND part = 'if' THEN item_vowel ELSE '' END) AS vowel_inf,
+  max(CASE WHEN var = 0 AND part = 'painsg1' THEN item_vowel ELSE '' END) AS vowel_pa FROM p GROUP BY para_id),
+s AS (SELECT *, CASE WHEN item_prefix = '0' THEN '0' ELSE '0-' || item_prefix END AS prefix, regexp_extract(stem, '^({S.VOWEL}*?.*?)({S.VOWEL}{{1,2}})', 1) AS pre0, regexp_extract(stem, '^({S.VOWEL}*?.*?)({S.VOWEL}{{1,2}})', 2) AS root,
+  CASE WHEN item_post = '0' THEN '' WHEN boundary_inf = '' THEN regexp_extract(stem, '{S.VOWEL}{S.VOWEL}*?({S.CONSONANT}.*?){S.VOWEL}+n$', 1) ELSE regexp_extract(stem, '{S.VOWEL}{S.VOWEL}*?({S.CONSONANT}.*?)' || boundary_inf || '{S.VOWEL}+n$', 1) END AS post0,
+  type <> 's' AND para_id::INT BETWEEN 89 AND 92 AS shaped FROM words JOIN p USING (para_id) JOIN seeds USING (para_id)),
+b AS (SELECT *, unnest(list_filter(['principal', CASE WHEN type = 's' AND part = 'if' THEN CASE WHEN contains(item_ending, 'an') THEN 'strong_if_an' ELSE 'strong_if' END WHEN type = 's' AND part IN ('painsg1', 'painpl') THEN 'strong_' || part
+  WHEN type <> 's' AND NOT shaped AND (part = 'if' AND class2 IN ('', '1', '2') OR part IN ('psinsg2', 'painsg1')) THEN 'weak_' || part END], lambda x: x IS NOT NULL)) AS branch FROM s),
+j AS (SELECT b.*, e.* EXCLUDE (branch), CASE WHEN b.branch = 'principal' AND shaped THEN item_pre ELSE pre0 END AS pre_vowel, CASE WHEN b.branch = 'principal' AND shaped THEN item_post ELSE post0 END AS post1,
+  CASE WHEN type = 's' OR b.branch = 'principal' AND shaped THEN item_vowel ELSE root END AS own FROM b JOIN e ON b.branch = e.branch),
+v AS (SELECT *, CASE WHEN branch IN ('weak_psinsg2', 'weak_painsg1') THEN {"regexp_replace(" * 26}post1{"".join(f", '{c}{c}', '{c}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz")} ELSE post1 END AS post_vowel,
+  CASE WHEN vowels = 'mutated' THEN [CASE own WHEN 'e' THEN 'i' ELSE own END, own] WHEN vowels = 'past' AND vowel_inf <> '' AND vowel_pa <> '' AND vowel_inf <> vowel_pa THEN [vowel_pa, own] ELSE [own] END AS actives FROM j),
+a AS (SELECT *, unnest(actives) AS active, generate_subscripts(actives, 1) - 1 AS vowel_ord FROM v),
+n AS (SELECT *, regexp_matches({_BASE}, '{conjugation.FINAL_VOWEL}') AS open, {_BASE} AS base FROM a WHERE need = '' OR need = 'vowel' AND regexp_matches({_BASE}, '{conjugation.FINAL_VOWEL}') OR need = 'bare vowel' AND regexp_matches({_BASE}, '(?i){S.VOWEL}$')),
+f AS (SELECT *, coalesce(function, part) AS fn, concat_ws('-', base, CASE WHEN type = 's' OR dental = 'none' THEN NULL WHEN dental = 'i' THEN CASE WHEN starts_with(item_ending, 'i') THEN 'i' ELSE '' END ELSE item_dental END,
+  CASE ending WHEN 'own' THEN item_ending WHEN 'none' THEN NULL ELSE ending END) AS form_parts,
+  CASE WHEN branch = 'principal' AND (type = 's' OR NOT shaped AND part = 'painsg1' AND var = 0) OR branch <> 'principal' AND type = 's' AND vowels = 'own' AND added = 0 THEN '' ELSE (vowel_ord + added)::VARCHAR END AS prob,
+  CASE WHEN branch = 'principal' AND part = 'papt' THEN 'past' WHEN branch = 'principal' AND type <> 's' AND part = 'pspt' THEN 'present'
+    WHEN branch <> 'principal' AND function = 'PsPt' AND (type = 's' OR ending = CASE WHEN open THEN 'nde' ELSE 'ende' END) THEN 'present' WHEN branch = 'weak_painsg1' AND function = 'PaPt' THEN 'past' END AS participle FROM n),
+m AS (SELECT *, translate(form_parts, '0-', '') AS source FROM f),
+c AS (SELECT *, list_concat([source], CASE WHEN delta IS NULL THEN []::VARCHAR[] WHEN fn = 'PsInSg2' THEN {_change_sql("source", morphology.SECOND_PERSON, True)} WHEN fn = 'PsInSg3' THEN {_change_sql("source", morphology.THIRD_PERSON, False)}
+  WHEN fn = 'PaPt' THEN {_change_sql("source", morphology.PAST_PARTICIPLE, False)} ELSE []::VARCHAR[] END) AS forms FROM m),
+o AS (SELECT *, unnest(forms) AS form, generate_subscripts(forms, 1) - 1 AS change FROM c)"""
+
+
+@query(f"""{_VERBS}
+SELECT nid, para_id, var, part_ord, block, vowel_ord::INT AS vowel_ord, ord, change::INT AS change, fn AS function, form_parts, form, CASE WHEN change = 0 THEN prob WHEN prob = '' THEN '0' ELSE (prob::INT + delta)::VARCHAR END AS probability FROM o""")
+def verb_forms(spark, sf_dir):
+    """Words as verbs of a strong, three weak paradigms and their parts, with sound changes."""
+    return _verbs(spark, sf_dir).where("dup = 0").select("nid", "para_id", "var", "part_ord", "block", "vowel_ord", "ord", "change", "function", "form_parts", "form", "probability")
+
+
+@query(f"""{_VERBS}, q AS (SELECT *, CASE WHEN position(prefix IN form_parts) > 0 THEN substr(form_parts, position(prefix IN form_parts) + length(prefix)) ELSE form_parts END AS rest FROM o WHERE change = 0 AND participle IS NOT NULL)
+SELECT nid, translate(prefix || translate(rest, '0-', ''), '0-', '') AS title, translate(rest, '0-', '') AS stem, (participle = 'present')::INT AS pspart, (participle = 'past')::INT AS papart FROM q""")
+def verb_participles(spark, sf_dir):
+    """The participles of those verbs, as they go on to the adjectives."""
+    return conjugation.participles(_verbs(spark, sf_dir)).select("nid", "title", "stem", "pspart", "papart")
+
+
 @query(f"WITH {_WORDS} SELECT nid, CASE WHEN regexp_matches(stem, '(sum|lic|isc)$') THEN 'til' WHEN regexp_matches(stem, '(cund|feald|full|iht)$') THEN 'blind' WHEN regexp_matches(stem, '(ihte|ede|wende)$') THEN 'wilde' END AS paradigm FROM w WHERE paradigm IS NOT NULL")
 def adjective_suffixes(spark, sf_dir):
     """Adjective labels that the suffix decides."""
