@@ -5,6 +5,9 @@ Attribution: the paradigms and rules follow work under CC BY 4.0 on the generati
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,13 @@ NOUN_ENDINGS = {
     "éage": "drop_e: SgNeNo e, SgNeAc an, SgNeGe an, SgNeDa an, SgNeAc ean, SgNeGe ean, SgNeDa ean, PlNeNo an, PlNeAc an, PlNeNo ean, PlNeAc ean, PlNeGe ena, PlNeDa um, PlNeDa eum",
     "wígend": "plain: SgMaNo 0, SgMaAc 0, SgMaGe es, SgMaDa e, PlMaNo 0, PlMaAc 0, PlMaNo e, PlMaAc e, PlMaNo as, PlMaAc as, PlMaGe ra",
 }
+#: Columns of the form table after the counter, and the order of a snapshot.
+FORM_COLUMNS = "formi BT title stem form formParts var probability function wright paradigm paraID wordclass class1 class2 class3 comment".split()
+CANONICAL = "BT wordclass function form formParts var title stem wright paradigm paraID class1 class2 class3 comment probability formi".split()
+#: The stages of the whole table in their order.
+STAGES = ("manual", "verb", "adjective", "adverb", "numeral", "noun")
+#: Stems of the r-stem nouns, labelled by themselves where the caller asks for it.
+R_STEM_NOUNS = ("fæder", "brōþor", "mōdor", "dōhtor", "sweostor")
 WEAK = ("guma", "fréa", "tunge", "éage", "wígend")
 # Labels by the section numbers of the grammar, first match counts.
 NOUN_SECTIONS = [
@@ -165,17 +175,95 @@ def sound_changes(forms: DataFrame, delta: int = 1) -> DataFrame:
     return rows if raised is None else rows.withColumn("probability", F.when(F.col("change") > 0, raised).otherwise(F.col("probability")))
 
 
-def noun_paradigms(words: DataFrame) -> DataFrame:
-    """Add paradigms: by section number, then the label that an earlier noun of the same stem got, then by shape and so on to the same stem, then by gender."""
+def section_token(wright: Column, token: str) -> Column:
+    """Whether a list of section numbers between semicolons holds exactly this one."""
+    return F.array_contains(F.split(F.coalesce(wright, F.lit("")), ";"), token)
+
+
+def is_ge_collective(prefix: Column, title: Column) -> Column:
+    return (prefix == "ge") & title.startswith("ge-")
+
+
+def positional_pairs(nouns: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Add pair_stem: the stem of the dictionary row at the same place as the noun, both in order of nid."""
+    left, right = numbered(nouns, ["nid"]), numbered(dictionary.select("nid", "stem"), ["nid"])
+    return left.join(right.select("counter", F.col("stem").alias("pair_stem")), "counter", "left").drop("counter")
+
+
+def propagate(rows: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Add paradigms to rows (nid, stem, own, shape, last: arrays or null) in the order of nid.
+
+    Labelled words hand their first label to words of the same stem, then to words whose stem without prefix, or with
+    y and i exchanged, is theirs; each word that gets one hands it on in the same pass. Then shapes label what is left,
+    both passes run again, and `last` closes. Only stems that are equal after prefixes, y and ie are levelled can
+    meet, so words are grouped by that and each group is walked alone; a group holds the variants of one stem.
+    """
+    level = lambda c: F.regexp_replace(F.regexp_replace(c, "y", "i"), "ie*", "i")
+    known = "|".join(re.escape(re.sub("ie*", "i", p.replace("y", "i"))) for p in prefixes) or "0"
+    rows = rows.withColumn("__group", F.regexp_replace(level(F.col("stem")), f"^(?:(?:{known})-?)+", ""))
+    strip = re.compile(f"^({'|'.join(map(re.escape, prefixes)) or '0'})-?(.*)")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("nid", kind="stable")
+        nids, stems = pdf.nid.tolist(), pdf.stem.tolist()
+        labels = [None if x is None else list(x) for x in pdf.own]
+        first: dict[str, tuple[int, str]] = {}  # the earliest labelled word of each stem
+
+        def hand_on(k: int) -> None:
+            first.setdefault(stems[k], (len(first), labels[k][0]))
+
+        for k, x in enumerate(labels):
+            if x:
+                hand_on(k)
+
+        def passes() -> None:
+            for near in (False, True):
+                for k, x in enumerate(labels):
+                    if x:
+                        continue
+                    some = [stems[k]]
+                    if near:
+                        bare = strip.sub(r"\2", stems[k])
+                        i = bare.replace("y", "i")
+                        some = [bare, i, bare.replace("i", "y"), i.replace("i", "ie")]
+                    found = [first[c] for c in some if c in first]
+                    if found:
+                        labels[k] = [min(found)[1]]
+                        hand_on(k)
+
+        passes()
+        for k, shape in enumerate(pdf["shape"]):
+            if not labels[k] and shape is not None and len(shape):
+                labels[k] = list(shape)
+                hand_on(k)
+        passes()
+        for k, last in enumerate(pdf["last"]):
+            if not labels[k]:
+                labels[k] = [] if last is None else list(last)
+        return pd.DataFrame({"nid": nids, "paradigms": labels})
+
+    kind = dict(rows.dtypes)["nid"]
+    found = rows.select("__group", "nid", "stem", "own", "shape", "last").groupBy("__group").applyInPandas(walk, f"nid {kind}, paradigms array<string>")
+    return rows.drop("__group").join(found, "nid")
+
+
+def noun_paradigms(words: DataFrame, prefixes: list[str] | None = None, r_stems: bool = False) -> DataFrame:
+    """Add paradigms to words (nid unique, stem, wright, n_masc, n_fem, n_neut, n_uncert).
+
+    By section number (with r_stems, r-stem nouns by their stem first), handed on over equal and similar stems, then by
+    shape, handed on again, then by gender. With a column pair_stem (positional_pairs) syllables and stem length are
+    those of that stem, as the rules pair nouns and dictionary rows by position.
+    """
     found = None
     for pattern, label in NOUN_SECTIONS:
         labels = F.split(F.lit(label), ";")
         found = F.when(F.col("wright").rlike(pattern), labels) if found is None else found.when(F.col("wright").rlike(pattern), labels)
-    df = words.withColumn("own", found)
-    by_stem = df.where("own is not null").groupBy("stem").agg(F.min_by("own", "nid").alias("shared"))
+    if r_stems:  # a section 415 alone names no stem of the list and so no table
+        found = F.when(F.col("stem").isin(*R_STEM_NOUNS), F.array("stem")).otherwise(found)
     stem, masc, fem, neut = F.col("stem"), F.col("n_masc") == 1, F.col("n_fem") == 1, F.col("n_neut") == 1
+    pair = F.coalesce("pair_stem", "stem") if "pair_stem" in words.columns else stem
     vowel = F.regexp_extract("stem", f"^({S.VOWEL}?{S.VOWEL}?.*?)({S.VOWEL}{S.VOWEL}?)", 2)
-    front = vowel.rlike("[æǽ]") & (S.syllable_count(stem) < 2)
+    front = vowel.rlike("[æǽ]") & (S.syllable_count(pair) < 2)
     shape = F.array_compact(F.array(
         F.when(stem.endswith("a"), F.when(vowel.rlike(S.LONG_VOWEL), "fréa").otherwise("guma")),
         F.when(stem.endswith("e") & fem, "tunge"), F.when(stem.endswith("e") & masc, "stán"), F.when(stem.endswith("e") & neut, "hof"),
@@ -183,11 +271,36 @@ def noun_paradigms(words: DataFrame) -> DataFrame:
         F.when(stem.rlike("(els|scipe)$"), "stán"), F.when(stem.rlike("incel$"), "hof"), F.when(stem.rlike("(ness|niss|nyss|ung)$"), "ár"),
         F.when(front & masc, "dæg"), F.when(front & neut, "fæt"),
     ))
-    gender = F.array_compact(F.array(F.when(masc | (F.col("n_uncert") == 1), "stán"), F.when(neut, F.when(S.stem_length(stem) == 1, "word").otherwise("hof")), F.when(fem, "ár")))
-    df = df.join(by_stem, "stem", "left").withColumn("known", F.coalesce("own", F.slice("shared", 1, 1), F.when(F.size(shape) > 0, shape)))
-    again = df.where("known is not null").groupBy("stem").agg(F.min_by("known", "nid").alias("later"))
-    df = df.join(again, "stem", "left")
-    return df.withColumn("paradigms", F.coalesce("known", F.slice("later", 1, 1), gender)).drop("own", "shared", "known", "later")
+    gender = F.array_compact(F.array(F.when(masc | (F.col("n_uncert") == 1), "stán"), F.when(neut, F.when(S.stem_length(pair) == 1, "word").otherwise("hof")), F.when(fem, "ár")))
+    rows = words.withColumns({"own": found, "shape": shape, "last": gender})
+    return propagate(rows, prefixes or []).drop("own", "shape", "last")
+
+
+def stage_rows(stages: dict[str, DataFrame]) -> DataFrame:
+    """The forms of the stages in their fixed order as one table: stage_ord and the 17 columns, absent ones empty."""
+    out = None
+    for k, name in enumerate(STAGES):
+        if name not in stages:
+            continue
+        rows = stages[name].withColumnsRenamed({"bt": "BT", "form_parts": "formParts", "para_id": "paraID"})
+        rows = rows.select(F.lit(k + 1).alias("stage_ord"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in FORM_COLUMNS])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def canonical_order(forms: DataFrame) -> DataFrame:
+    """Rows sorted by all 17 columns: ranges of rows, sorted each, so that files in order are in order."""
+    return forms.orderBy(*CANONICAL)
+
+
+def first_words(words: DataFrame, n: int | None) -> DataFrame:
+    """The first n words by nid, taken before anything is handed on between words."""
+    return words if n is None else words.orderBy("nid").limit(n)
+
+
+def manual_rows(manual: DataFrame) -> DataFrame:
+    """Listed forms as rows of the first stage, with the reduced second row."""
+    return with_reduced(manual.withColumn("BT", F.col("bt")).drop("bt").withColumnsRenamed({"form_parts": "formParts", "para_id": "paraID"}))
 
 
 def adjective_paradigms(words: DataFrame) -> DataFrame:
@@ -205,16 +318,22 @@ def adjective_paradigms(words: DataFrame) -> DataFrame:
         .when((count < 2) & ~long, front).when((count < 2) & stem.rlike(f"{S.VOWEL}h$"), "héah").when((count < 2) & stem.rlike(f"{S.CONSONANT}h$"), "þweorh").when(count < 2, "blind")
         .when(stem.rlike("[uo]$"), "gearu").when(stem.rlike("e$"), "wilde").when(long, "hálig").otherwise("manig")
     )
-    return df.join(by_stem, "stem", "left").withColumn("paradigm", F.coalesce("own", "shared", shape)).drop("own", "shared")
+    df = df.join(by_stem, "stem", "left").withColumn("paradigm", F.coalesce("own", "shared", shape)).drop("own", "shared")
+    return df.withColumn("numeral", F.when(stem.contains("feald"), 0).otherwise(F.col("numeral"))) if "numeral" in df.columns else df
 
 
-def numbered(forms: DataFrame, order: list[str]) -> DataFrame:
-    """Add counter from 0 in the stated order, counting in ranges: sorted partitions, then the partitions' sums."""
+def numbered(forms: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Add counter from 0 in the stated order, in each group of `within` if there are any: sorted ranges are counted, then the ranges' sums."""
     from pyspark.sql.window import Window
 
+    keys = within or []
     # stored: ranges are sampled, and the sizes and the rows must come from the same ones
-    ranged = stored(forms.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return ranged.withColumn("__i", inside).join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn("counter", F.col("__before") + F.col("__i") - 1).drop("__p", "__q", "__i", "__before")
+    ranged = stored(forms.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order))
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return ranged.withColumn("__i", inside).join(before, same).withColumn("counter", F.col("__before") + F.col("__i") - 1).drop("__p", "__q", "__i", "__before", *[f"__k_{k}" for k in keys])

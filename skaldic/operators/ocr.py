@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .morphology import numbered
 
 #: Substitutions that are safe on any page, in order.
 SAFE_RULES = [("ſ", "s"), ("(?m)^\\s*S\\s*(\\d{1,3})\\.\\s*", "§ \\1. "), ("(?m)^\\s*5\\s*(\\d{1,3})\\.\\s*", "§ \\1. "), ("\\r\\n", "\n"), ("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n")]
@@ -112,11 +115,36 @@ def ratio(a: Column, b: Column, otherwise: float) -> Column:
 
 
 def latencies(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame:
-    """n, mean, median, p95 (element int(0.95 (n - 1)) of the sorted values, from 0), deviation and pages per minute."""
-    n = F.count(seconds)
-    place = F.floor(F.lit(0.95) * (F.size("xs") - 1)).cast("int")
-    out = rows.groupBy(*keys).agg(n.alias("n"), F.coalesce(F.avg(seconds), F.lit(0.0)).alias("mean_s"), F.median(seconds).alias("median_s"), F.coalesce(F.stddev_pop(seconds), F.lit(0.0)).alias("stdev_s"), F.array_sort(F.collect_list(seconds)).alias("xs"))
-    return out.withColumn("p95_s", F.get("xs", place)).withColumn("pages_per_min", F.when(F.col("mean_s") > 0, 60 / F.col("mean_s")).otherwise(0.0)).drop("xs")
+    """n, mean, median, p95 (element int(0.95 (n - 1)) of the sorted values, from 0), deviation and pages per minute.
+
+    The p95 is read at its place in sorted ranges, so that no group has to fit into one row or task; null values don't count.
+    """
+    some = rows.where(F.col(seconds).isNotNull()).select(*keys, F.col(seconds).alias("__s"))
+    out = some.groupBy(*keys).agg(F.count("__s").alias("n"), F.coalesce(F.avg("__s"), F.lit(0.0)).alias("mean_s"), F.median("__s").alias("median_s"), F.coalesce(F.stddev_pop("__s"), F.lit(0.0)).alias("stdev_s"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    placed, wanted = numbered(some, ["__s"], keys).alias("p"), out.select(*keys, F.floor(F.lit(0.95) * (F.col("n") - 1)).alias("__at")).alias("w")
+    p95 = placed.join(wanted, reduce(lambda x, y: x & y, [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]) & (F.col("p.counter") == F.col("w.__at"))).select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.__s").alias("p95_s"))
+    return out.join(p95, same(out, p95)).select(*[out[k] for k in keys], "n", "mean_s", "median_s", "stdev_s", "p95_s", F.when(F.col("mean_s") > 0, 60 / F.col("mean_s")).otherwise(0.0).alias("pages_per_min"))
+
+
+def mean_or(c: Column, otherwise: float = 0.0) -> Column:
+    """The mean, or a default where there is nothing to average."""
+    return F.coalesce(F.avg(c), F.lit(otherwise))
+
+
+def failure_histogram(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason, n) of the failed pages (failure_reason; null: none)."""
+    return pages.where("failure_reason is not null").groupBy(*keys, F.col("failure_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_trait(fixtures: DataFrame) -> DataFrame:
+    """Per trait, of rows (fixture, traits, mean_s, p95_s, pages_measured, failed_pages, quality_pass): means and worst p95 over fixtures with measured pages."""
+    rows = fixtures.select(F.explode("traits").alias("trait"), *[c for c in fixtures.columns if c != "traits"])
+    measured = F.col("pages_measured") > 0
+    return rows.groupBy("trait").agg(
+        F.count(F.lit(1)).alias("fixtures"), F.sum("pages_measured").alias("pages_measured"), F.sum("failed_pages").alias("failed_pages"), mean_or(F.when(measured, F.col("mean_s"))).alias("mean_s"),
+        F.coalesce(F.max(F.when(measured, F.col("p95_s"))), F.lit(0.0)).alias("p95_s"), F.every(F.coalesce("quality_pass", F.lit(False))).alias("quality_pass"),
+    )
 
 
 def gate(rows: DataFrame, overrides: DataFrame, key: str, defaults: dict[str, float]) -> DataFrame:
@@ -127,12 +155,33 @@ def gate(rows: DataFrame, overrides: DataFrame, key: str, defaults: dict[str, fl
     return joined.withColumn("quality_pass", ok).drop(*defaults)
 
 
+#: Metrics that must not rise, recalls that must not fall.
+RATES, RECALLS = ("mean_cer", "mean_wer"), ("ae_recall", "eth_recall", "thorn_recall", "macron_recall")
+
+
+def baseline_of(rows: DataFrame, preferred: Column, order: str) -> DataFrame:
+    """The first valid row in order that is preferred, else the first valid one; none if no row is valid."""
+    return rows.where("valid").orderBy(~F.coalesce(preferred, F.lit(False)), order).limit(1)
+
+
 def veto(rows: DataFrame, baseline: DataFrame, relative: float = 0.05, absolute: float = 0.02) -> DataFrame:
-    """Add reasons: error rates over the single baseline row's by a share, recalls under it by an amount."""
-    base = baseline.limit(1).select(*[F.col(c).alias(f"b_{c}") for c in ("cer", "wer", "thorn_recall", "macron_recall")])
-    joined = rows.crossJoin(F.broadcast(base))
-    reasons = [F.when(F.col(c) > F.col(f"b_{c}") * (1 + relative), c) for c in ("cer", "wer")] + [F.when(F.col(c) < F.col(f"b_{c}") - absolute, c) for c in ("thorn_recall", "macron_recall")]
-    return joined.withColumn("reasons", F.array_compact(F.array(*reasons))).drop(*[f"b_{c}" for c in ("cer", "wer", "thorn_recall", "macron_recall")])
+    """Add reasons, sorted: what makes a row (valid, rates, recalls) worse than the one baseline row.
+
+    A row that is not valid has only `model_verification_failed`, without a baseline `baseline_unavailable`. Absent rates
+    count as 0, absent recalls as 1.
+    """
+    names = (*RATES, *RECALLS)
+    base = baseline.limit(1).agg(*[F.first(F.coalesce(F.col(c), F.lit(0.0 if c in RATES else 1.0))).alias(f"b_{c}") for c in names], F.count(F.lit(1)).alias("b_n"))
+    joined = rows.crossJoin(F.broadcast(base))  # one row
+    reasons = []
+    for c in RATES:
+        now, was = F.coalesce(F.col(c), F.lit(0.0)), F.col(f"b_{c}")
+        reasons.append(F.when(was <= 0, F.when(now > was, F.lit(f"{c}_exceeds_zero_baseline"))).when(now > was * (1 + relative), F.format_string(f"{c}_regressed>%.2f%%", (now / was - 1) * 100)))
+    for c in RECALLS:
+        now, was = F.coalesce(F.col(c), F.lit(1.0)), F.col(f"b_{c}")
+        reasons.append(F.when(now < was - absolute, F.format_string(f"{c}_dropped>%.4f", was - now)))
+    found = F.when(~F.col("valid"), F.array(F.lit("model_verification_failed"))).when(F.col("b_n") == 0, F.array(F.lit("baseline_unavailable"))).otherwise(F.array_sort(F.array_compact(F.array(*reasons))))
+    return joined.withColumn("reasons", found).drop("b_n", *[f"b_{c}" for c in names])
 
 
 def best(rows: DataFrame, keys: list[str]) -> DataFrame:

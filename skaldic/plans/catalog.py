@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..functions import udfs
 from ..operators import completions, conjugation, declension, diacritics, ingest, morphology, ocr
 from ..sources import tei
+from ..storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,48 +97,44 @@ def sentence_counts(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
 
 
-_INDEX = f"{LINES}, w AS (SELECT doc_id, line_number, {WORDS} FROM t), k AS (SELECT doc_id, {KEY} AS key, lower(word) AS form FROM w), i AS (SELECT key, list_sort(list(DISTINCT form)) AS forms FROM k WHERE doc_id % 2 = 0 GROUP BY key)"
-
-
-def _spellings(docs):
-    known = diacritics.tokens(docs)
-    return diacritics.build_index(known.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")))
+_WORD = r"\p{L}+(?:[-–—]\p{L}+)*"
+_INDEX = f"v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORD}')) AS word FROM documents), i AS MATERIALIZED (SELECT {KEY} AS key, list_sort(list(DISTINCT lower(word))) AS forms FROM v GROUP BY 1)"
 
 
 def _index(spark, sf_dir):
-    return _spellings(read(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(2)) == 0))
+    """Spellings of all documents: different words are found before they are normalised."""
+    words = diacritics.tokens(read(spark, sf_dir, "documents")).select("word").distinct()
+    return diacritics.build_index(words.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")))
 
 
 @query(f"WITH {_INDEX} SELECT key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i")
 def spelling_index(spark, sf_dir):
-    """Key to spellings over one of the two volumes (even documents) that the look-up below is tested against."""
+    """Key to spellings over all documents."""
     return _index(spark, sf_dir).withColumn("forms", F.array_join("forms", ","))
 
 
-@query(f"""WITH {_INDEX} SELECT doc_id, count(*) AS tokens, count(*) FILTER (len(forms) = 1) AS restored, count(*) FILTER (len(forms) > 1) AS ambiguous, count(*) FILTER (forms IS NULL) AS unknown
-FROM k LEFT JOIN i USING (key) GROUP BY doc_id""")
+@query(f"""WITH {_INDEX}, w AS (SELECT conv_id, unnest(regexp_extract_all(text, '{_WORD}')) AS word FROM conversations), k AS (SELECT conv_id, {KEY} AS key FROM w)
+SELECT conv_id, count(*) AS tokens, count(*) FILTER (len(forms) = 1) AS restored, count(*) FILTER (len(forms) > 1) AS ambiguous, count(*) FILTER (forms IS NULL) AS unknown
+FROM k LEFT JOIN i USING (key) GROUP BY conv_id""")
 def index_lookup(spark, sf_dir):
-    """Tokens of every document against the index: ambiguous wins over unique, a miss is unknown."""
-    found = diacritics.look_up(diacritics.tokens(read(spark, sf_dir, "documents")), _index(spark, sf_dir))
-    many = F.col("options").isNotNull()
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(~many & ~F.col("is_unknown")).alias("restored"), F.count_if(many).alias("ambiguous"), F.count_if("is_unknown").alias("unknown"))
+    """Tokens of every conversation against the index of all documents: ambiguous wins over unique, a miss is unknown."""
+    return diacritics.lookup_counts(read(spark, sf_dir, "conversations"), _index(spark, sf_dir), "conv_id")
 
 
 @query()
 def restored_texts(spark, sf_dir):
     """Every text with diacritics restored from the spellings of all documents; checked by tests, as the rules need lookbehind."""
-    docs = read(spark, sf_dir, "documents")
-    return diacritics.restore(docs, _spellings(docs))
+    return diacritics.restore(read(spark, sf_dir, "documents"), _index(spark, sf_dir))
 
 
-@query(f"""WITH {_INDEX}, added AS (SELECT key, max(form) AS form FROM (SELECT DISTINCT {KEY} AS key, lower(word) AS form FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word FROM benchmark)) GROUP BY key),
-ok AS (SELECT a.* FROM added a LEFT JOIN i USING (key) WHERE i.key IS NULL OR len(i.forms) = 1)
-SELECT key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i WHERE key NOT IN (SELECT key FROM ok) UNION ALL SELECT key, form, false FROM ok""")
+@query(f"""WITH {_INDEX}, words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS word FROM benchmark), added AS (SELECT {KEY} AS key, max(lower(word)) AS form FROM words GROUP BY 1),
+ok AS MATERIALIZED (SELECT a.key, a.form FROM added a LEFT JOIN i USING (key) WHERE i.key IS NULL OR len(i.forms) = 1)
+SELECT i.key, array_to_string(forms, ',') AS forms, len(forms) > 1 AS is_ambiguous FROM i LEFT JOIN ok USING (key) WHERE ok.key IS NULL UNION ALL SELECT key, form, false FROM ok""")
 def index_add(spark, sf_dir):
     """Forms of the benchmark added with force: ambiguous keys stay as they are."""
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))).alias("word"))
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"))).alias("word")).distinct()
     added = words.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")).distinct()
-    return diacritics.add_forms(_index(spark, sf_dir), added, force=True).withColumn("forms", F.array_join("forms", ","))
+    return diacritics.add_forms(stored(_index(spark, sf_dir)), added, force=True).withColumn("forms", F.array_join("forms", ","))
 
 
 @query(f"WITH {_INDEX} SELECT key FROM i WHERE len(forms) > 1 AND key NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)")
@@ -157,7 +154,8 @@ def keep_first(spark, sf_dir):
 def most_common(spark, sf_dir):
     """Frequency order, ties by first occurrence."""
     rows = read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_seen"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")))
+    rows = morphology.numbered(rows.withColumn("down", -F.col("n")), ["down", "first_seen"])
+    return rows.select("p_type", "n", "first_seen", (F.col("counter") + 1).alias("place"))
 
 
 @query("SELECT o_custkey, arg_min(o_orderkey, {'a': o_orderstatus <> 'F', 'b': o_totalprice, 'c': o_orderkey}) AS candidate FROM orders GROUP BY o_custkey")
@@ -369,11 +367,15 @@ def block_kinds(spark, sf_dir):
     return docs.where(S.strip(F.col("text")) != "").select("doc_id", S.block_kind(F.col("text")).alias("kind"))
 
 
-@query("SELECT lang, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+@query("""WITH b AS (SELECT lang, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT lang, sha256(string_agg(digest, chr(10) ORDER BY block)) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY lang""")
 def ordered_digest(spark, sf_dir):
-    """sha256 over ordered rows of a group."""
-    rows = read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rs"), F.count(F.lit(1)).alias("n"))
-    return rows.select("lang", F.sha2(F.array_join(F.transform("rs", lambda r: F.concat_ws(":", r["doc_id"], r["n_chars"])), "\n"), 256).alias("digest"), "n")
+    """sha256 over ordered rows of a group: of the digests of blocks of 1000 ids, so that no group has to fit into a row."""
+    block = F.floor(F.col("doc_id") / 1000).alias("block")
+    rows = read(spark, sf_dir, "documents").groupBy("lang", block).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rs"), F.count(F.lit(1)).alias("n"))
+    rows = rows.select("lang", "block", F.sha2(F.array_join(F.transform("rs", lambda r: F.concat_ws(":", r["doc_id"], r["n_chars"])), "\n"), 256).alias("digest"), "n")
+    out = rows.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("ds"), F.sum("n").alias("n"))
+    return out.select("lang", F.sha2(F.array_join(F.transform("ds", lambda d: d["digest"]), "\n"), 256).alias("digest"), "n")
 
 
 @query("SELECT CASE WHEN role = 'system' THEN 1 WHEN role = 'user' THEN 2 ELSE 3 END AS stage, count(*) AS n FROM conversations GROUP BY 1")

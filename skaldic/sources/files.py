@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators.morphology import numbered
 
 #: Columns of the tab-separated inputs.
 DICTIONARY = "nid title wright noun pronoun adjective verb participle adverb preposition conjunction interjection numeral vb_weak vb_strong vb_contracted vb_pretpres vb_anomalous vb_uncertain n_masc n_fem n_neut n_uncert".split()
@@ -92,28 +98,133 @@ def rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 
 def macron_index(spark: SparkSession, path: str) -> DataFrame:
-    """(key, forms, is_ambiguous) of an index file with maps unique and ambiguous."""
-    raw = spark.read.json(path, multiLine=True, schema="unique map<string,string>, ambiguous map<string,array<string>>")
-    single = raw.select(F.explode("unique").alias("key", "form")).select("key", F.array("form").alias("forms"), F.lit(False).alias("is_ambiguous"))
-    return single.unionByName(raw.select(F.explode("ambiguous").alias("key", "forms")).withColumn("is_ambiguous", F.lit(True)))
+    """(key, forms, is_ambiguous, completed) of an index file with maps unique and ambiguous and a list of completed keys."""
+    raw = spark.read.json(path, multiLine=True, schema="unique map<string,string>, ambiguous map<string,array<string>>, ambiguous_completed array<string>")
+    single = raw.select(F.explode("unique").alias("key", "form")).select("key", F.array("form").alias("forms"), F.lit(False).alias("is_ambiguous"), F.lit(False).alias("completed"))
+    done = F.coalesce(F.array_contains("ambiguous_completed", F.col("key")), F.lit(False)).alias("completed")
+    many = raw.select("ambiguous_completed", F.explode("ambiguous").alias("key", "forms")).select("key", "forms", F.lit(True).alias("is_ambiguous"), done)
+    return single.join(many, "key", "left_anti").unionByName(many)
+
+
+def index_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of an index file's meta map."""
+    return spark.read.json(path, multiLine=True, schema="meta map<string,string>").select(F.explode("meta").alias("name", "value"))
+
+
+class _Cards(HTMLParser):
+    """The fields of the cards of a result page: div.btd--search-entry inside article."""
+
+    def __init__(self):
+        super().__init__()
+        self.open: list[tuple[str, set[str]]] = []
+        self.cards: list[dict] = []
+        self.card: int | None = None
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        names = set((attrs.get("class") or "").split())
+        if tag not in VOID:
+            self.open.append((tag, names))
+        if tag == "div" and "btd--search-entry" in names and any(t == "article" for t, _ in self.open) and self.card is None:
+            self.card = len(self.open)
+            self.cards.append({"headword": None, "href": "", "pos": None, "meanings": None})
+        elif self.card is not None and tag == "a" and self._inside("header", "h3") and self.cards[-1]["headword"] is None:
+            self.cards[-1].update(headword="", href=attrs.get("href") or "")
+        elif self.card is not None and "btd--search-entry-wordclass" in names and self.cards[-1]["pos"] is None:
+            self.cards[-1]["pos"] = ""
+        elif self.card is not None and tag == "p" and self.cards[-1]["meanings"] is None and any("btd--search-description" in n for _, n in self.open[self.card :]):
+            self.cards[-1]["meanings"] = ""
+
+    def _inside(self, *tags: str) -> bool:
+        at = iter(t for t, _ in self.open[self.card :])
+        return all(t in at for t in tags)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+        if self.card is not None and len(self.open) < self.card:
+            self.card = None
+
+    def handle_data(self, data):
+        if self.card is None:
+            return
+        inner = self.open[self.card :]
+        if any(t == "a" for t, _ in inner) and self._inside("header", "h3"):
+            self.cards[-1]["headword"] += " " + data
+        elif any("btd--search-entry-wordclass" in n for _, n in inner):
+            self.cards[-1]["pos"] += " " + data
+        elif any("btd--search-description" in n for _, n in inner) and any(t == "p" for t, _ in inner):
+            self.cards[-1]["meanings"] += " " + data
+
+
+# The site the links of result pages belong to, the mark between meanings, elements without an end.
+SITE = "https://bosworthtoller.com"
+BETWEEN = "⬩"
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
 
+def search_entries(pages: DataFrame) -> DataFrame:
+    """(page_id, order_index, headword, headword_macronized, pos, meanings, entry_url) of dictionary result pages.
 
-def write_index(index: DataFrame, path: str) -> None:
-    """The index as JSON lines by key; Spark's commit protocol makes the write whole or nothing."""
-    index.orderBy("key").write.mode("overwrite").json(path)
+    Cards without a headword give no row but count in order_index. A page is parsed on an Arrow batch.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, text in zip(*(c.to_pylist() for c in batch.columns)):
+                parser = _Cards()
+                parser.feed(text or "")
+                for k, card in enumerate(parser.cards):
+                    if word := " ".join((card["headword"] or "").split()):
+                        rows.append((page, k, word, " ".join((card["pos"] or "").split()), " ".join((card["meanings"] or "").split()), urljoin(SITE, card["href"]) if card["href"] else SITE))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "order_index", "headword", "pos", "body", "entry_url"])
 
-def search_entries(pages: DataFrame) -> DataFrame:
-    """(page_id, order_index, headword, headword_macronized, pos, meanings) of dictionary result pages (h3 and following paragraph)."""
-    cells = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<h3[^>]*>(.*?)</h3>\\s*(?:<p[^>]*>(.*?)</p>)?"), F.lit(0))).alias("order_index", "cell"))
-    plain = lambda k: S.collapse_spaces(F.regexp_replace(F.regexp_extract("cell", "(?is)<h3[^>]*>(.*?)</h3>\\s*(?:<p[^>]*>(.*?)</p>)?", k), "<[^>]*>", " "))
-    rows = cells.select("page_id", "order_index", plain(1).alias("headword"), plain(2).alias("body"))
-    pos = F.regexp_extract("body", "^\\(([^)]*)\\)", 1)
-    meanings = F.filter(F.transform(F.split(F.regexp_replace("body", "^\\([^)]*\\)\\s*", ""), "⬩"), lambda m: S.strip(m)), lambda m: m != "")
-    return rows.select("page_id", "order_index", "headword", S.acute_to_macron(F.col("headword")).alias("headword_macronized"), pos.alias("pos"), meanings.alias("meanings"))
+    kind = dict(pages.dtypes)["page_id"]
+    rows = pages.select("page_id", F.col("html").cast("string")).mapInArrow(run, f"page_id {kind}, order_index int, headword string, pos string, body string, entry_url string")
+    bare = F.col("pos").startswith("(") & F.col("pos").endswith(")")
+    pos = F.when(bare, S.strip(F.expr("substring(pos, 2, length(pos) - 2)"))).otherwise(F.col("pos"))
+    meanings = F.filter(F.transform(F.split("body", BETWEEN), lambda m: S.strip(m)), lambda m: m != "")
+    return rows.select("page_id", "order_index", "headword", S.acute_to_macron(F.col("headword")).alias("headword_macronized"), pos.alias("pos"), meanings.alias("meanings"), "entry_url")
+
+
+def entries_of_form(entries: DataFrame, key: str) -> DataFrame:
+    """The entries whose headword has this key."""
+    return entries.where(S.normalize_old_english(F.col("headword")) == key)
+
+
+def merge_entries(entries: DataFrame, order: list[str]) -> DataFrame:
+    """Entries of several pages without repeated (url, headword in lower case): the first in `order` stays, numbered anew from 0."""
+    same = Window.partitionBy("entry_url", F.lower("headword")).orderBy(*order)
+    first = entries.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+    rows = numbered(first.withColumnRenamed("order_index", "page_index"), [{"order_index": "page_index"}.get(c, c) for c in order])
+    return rows.withColumnRenamed("counter", "order_index").drop("page_index")
 
 
 def log_counters(logs: DataFrame) -> DataFrame:
-    """Sums of `name=number` counters in free log text (line)."""
-    found = logs.select(F.explode(F.regexp_extract_all("line", F.lit("([A-Za-z_]+=\\d+)"))).alias("kv"))
-    return found.groupBy(F.split("kv", "=")[0].alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.split("kv", "=")[1].cast("long")).alias("total"))
+    """Sums of `name=number` counters in free log text (line), decimals included."""
+    found = logs.select(F.explode(F.regexp_extract_all("line", F.lit("([A-Za-z_]+=[0-9]+(?:\\.[0-9]+)?)"))).alias("kv"))
+    return found.groupBy(F.split("kv", "=")[0].alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.split("kv", "=")[1].cast("double")).alias("total"))
+
+
+def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of all *.md files below a folder that are not blank; none at all is an error."""
+    pages = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(S.strip(F.col("value")) != "")
+    if pages.isEmpty():
+        raise ValueError(f"no page with text under {path}")
+    return pages
+
+
+def html_elements(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, element_ix, text): the pieces of text between block tags of a page, without scripts, styles and the head."""
+    body = F.regexp_replace("html", "(?is)<!--.*?-->|<(script|style|head|noscript|template)\\b.*?</\\1\\s*>", " ")
+    cut = F.regexp_replace(body, "(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|hr|tr|td|th|table|section|article|header|footer|nav|aside|main|blockquote|pre|dl|dt|dd|body|html|form)\\b[^>]*>", "\u0001")
+    parts = pages.select(key, F.posexplode(F.split(F.regexp_replace(cut, "<[^>]*>", ""), "\u0001")).alias("p", "raw"))
+    for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        parts = parts.withColumn("raw", F.replace("raw", F.lit(name), F.lit(letter)))
+    parts = parts.withColumn("text", S.collapse_spaces(F.col("raw"))).where("text <> ''")
+    return parts.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("p")) - 1).alias("element_ix"), "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -9,11 +11,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read again; a temporary folder only where that is unset."""
+    """df written as Parquet under spark.checkpoint.dir and read again; a temporary folder only where that is unset and the master is local."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.skaldic.scratch", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='skaldic-')}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.TemporaryDirectory(prefix="skaldic-")
+        atexit.register(own.cleanup)
+        where = f"file://{own.name}"
         spark.conf.set("spark.skaldic.scratch", where)
     path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
