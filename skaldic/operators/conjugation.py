@@ -86,8 +86,10 @@ def uses_item_shape(para_id: Column) -> Column:
 def stem_parts(verbs: DataFrame, paradigms: DataFrame) -> DataFrame:
     """verbs (nid, title, stem, prefix, wright, para_id) x the parts of their paradigm, with the word's own segments.
 
-    paradigms (para_id, paradigm, type, class2, class3, variant_id, part_ord, part, prefix, pre_vowel, vowel, post_vowel, boundary, dental, ending).
+    paradigms (para_id, paradigm, type, class2, class3, variant_id, part_ord, part, prefix, pre_vowel, vowel, post_vowel, boundary, dental, ending);
+    title, class and subclass, as the reader names them, do for paradigm, class2 and class3.
     """
+    paradigms = paradigms.drop("wright", "ord", "subdivision").withColumnsRenamed({"title": "paradigm", "class": "class2", "subclass": "class3"})
     first = lambda part, c: F.max(F.when((F.col("variant_id") == 0) & (F.lower("part") == part), F.col(c)))
     seeds = paradigms.groupBy("para_id").agg(*[S.empty_if_zero(first(p, c)).alias(n) for p, c, n in (("if", "boundary", "boundary_inf"), ("if", "vowel", "vowel_inf"), ("painsg1", "vowel", "vowel_pa"))])
     own = ("prefix", "pre_vowel", "vowel", "post_vowel", "ending", "dental")

@@ -119,6 +119,7 @@ class _Cards(HTMLParser):
         self.open: list[tuple[str, set[str]]] = []
         self.cards: list[dict] = []
         self.card: int | None = None
+        self.field: tuple[str, int] | None = None  # the field that text goes to, and the depth it was opened at
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
@@ -128,12 +129,16 @@ class _Cards(HTMLParser):
         if tag == "div" and "btd--search-entry" in names and any(t == "article" for t, _ in self.open) and self.card is None:
             self.card = len(self.open)
             self.cards.append({"headword": None, "href": "", "pos": None, "meanings": None})
-        elif self.card is not None and tag == "a" and self._inside("header", "h3") and self.cards[-1]["headword"] is None:
-            self.cards[-1].update(headword="", href=attrs.get("href") or "")
-        elif self.card is not None and "btd--search-entry-wordclass" in names and self.cards[-1]["pos"] is None:
-            self.cards[-1]["pos"] = ""
-        elif self.card is not None and tag == "p" and self.cards[-1]["meanings"] is None and any("btd--search-description" in n for _, n in self.open[self.card :]):
-            self.cards[-1]["meanings"] = ""
+        elif self.card is not None and self.field is None:
+            card, last = self.cards[-1], None
+            if tag == "a" and self._inside("header", "h3") and card["headword"] is None:
+                last, card["href"] = "headword", attrs.get("href") or ""
+            elif "btd--search-entry-wordclass" in names and card["pos"] is None:
+                last = "pos"
+            elif tag == "p" and card["meanings"] is None and any("btd--search-description" in n for _, n in self.open[self.card :]):
+                last = "meanings"
+            if last:
+                card[last], self.field = "", (last, len(self.open))
 
     def _inside(self, *tags: str) -> bool:
         at = iter(t for t, _ in self.open[self.card :])
@@ -144,19 +149,14 @@ class _Cards(HTMLParser):
             if self.open[k][0] == tag:
                 del self.open[k:]
                 break
+        if self.field and len(self.open) < self.field[1]:
+            self.field = None
         if self.card is not None and len(self.open) < self.card:
-            self.card = None
+            self.card = self.field = None
 
     def handle_data(self, data):
-        if self.card is None:
-            return
-        inner = self.open[self.card :]
-        if any(t == "a" for t, _ in inner) and self._inside("header", "h3"):
-            self.cards[-1]["headword"] += " " + data
-        elif any("btd--search-entry-wordclass" in n for _, n in inner):
-            self.cards[-1]["pos"] += " " + data
-        elif any("btd--search-description" in n for _, n in inner) and any(t == "p" for t, _ in inner):
-            self.cards[-1]["meanings"] += " " + data
+        if self.field:
+            self.cards[-1][self.field[0]] += " " + data
 
 
 # The site the links of result pages belong to, the mark between meanings, elements without an end.
