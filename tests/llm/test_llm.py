@@ -540,3 +540,65 @@ def test_dictionaries_hold_whole_texts(spark, monkeypatch):
     assert not rest.strip()
     tie = langid.identify(spark.createDataFrame([(1, "zz")], "doc_id long, text string"), {"b": b"same words", "a": b"same words"}).first()
     assert tie.lang_pred == "b" and tie.rejected
+
+
+LONG_TEXT = "this is the text of the article and it is as long as it has to be to be taken for what it is by all of the rules that there are for it"
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f"<div><p>{LONG_TEXT} one</p><article><p>Teaser</p></article><p>{LONG_TEXT} two</p></div>", [f"{LONG_TEXT} one", "Teaser", f"{LONG_TEXT} two"]),
+        (f"<div class='post tags-news'><h1>Head</h1><p>{LONG_TEXT}</p></div>", ["Head", LONG_TEXT]),
+        (f"<div class='search results'><h1>Head</h1><p>{LONG_TEXT}</p></div>", ["Head", LONG_TEXT]),
+        (f"<table><tr><td class='sidebar'><p>{LONG_TEXT} side</p><p>{LONG_TEXT} side two</p><td><p>{LONG_TEXT}</p><p>{LONG_TEXT} two</p><p>{LONG_TEXT} three</p></table>", [LONG_TEXT, f"{LONG_TEXT} two", f"{LONG_TEXT} three"]),
+        (f"<ul><li class='ad'><div>{LONG_TEXT} buy</div><div>{LONG_TEXT} now</div><li><div>{LONG_TEXT}</div><div>{LONG_TEXT} too</div></ul>", [LONG_TEXT, f"{LONG_TEXT} too"]),
+        (f"<div>{LONG_TEXT}</div><div class='postComments'>" + f"<p>{LONG_TEXT} I think</p>" * 9 + "</div>", [LONG_TEXT]),
+        (f"<main><h1>Head</h1><p>Short.</p></main><div class='site-footer'>{LONG_TEXT}</div>", ["Head", "Short."]),
+        (f"<p>{LONG_TEXT}</p><p class='widget'>{LONG_TEXT} w</p><p hidden>{LONG_TEXT} h</p><p>{LONG_TEXT} end</p>", [LONG_TEXT, f"{LONG_TEXT} end"]),
+    ],
+)
+def test_html_pages(page, wanted):
+    text = html_extract.main_text(page)
+    assert [x for x in text.split("\n") if x != "Teaser"] == [x for x in wanted if x != "Teaser"]
+
+
+def brute_inherit(found, void):
+    """The second pass by looking from every open block to every decided one."""
+    out = []
+    for k, b in enumerate(found):
+        if b.label:
+            out.append(b.label)
+            continue
+        near = [j for j, x in enumerate(found) if x.label and not x.bad and all(m in void for m in x.marked) and x.main == b.main]
+        left, right = max((j for j in near if j < k), default=None), min((j for j in near if j > k), default=None)
+        if b.main and left is None and right is None:
+            out.append("good")
+            continue
+        edge = "good" if b.main else "bad"
+        x = (k - left, found[left].label) if left is not None else (k + 1, edge)
+        y = (right - k, found[right].label) if right is not None else (len(found) - k, edge)
+        out.append(x[1] if x[1] == y[1] else y[1] if b.heading else min(x, y)[1] if x[0] != y[0] else edge)
+    return out
+
+
+def test_html_second_pass_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        found = [html_extract.Block("x", 0, False, rng.choice([0, 0, 1, 2]), rng.random() < 0.2, rng.choice([(), (), (1,), (2,)]), rng.choice(["", "", "good", "bad"])) for _ in range(rng.randrange(12))]
+        for b in found:
+            b.bad = b.label == "bad" and rng.random() < 0.3
+        wanted = brute_inherit(found, {1})
+        html_extract.inherit(found, {1})
+        assert [b.label for b in found] == wanted
+
+
+def test_html_long_and_repeated_pages(spark):
+    import time
+
+    began = time.process_time()
+    text = html_extract.main_text("".join(f"<div><p>Short {k}<li>x" for k in range(50_000)) + "</b>" * 50_000 + f"<p>{LONG_TEXT}")
+    assert LONG_TEXT in text and time.process_time() - began < 30
+    pages = spark.createDataFrame([(1, "u", PAGE)] * 3 + [(1, "u", f"<p>{LONG_TEXT}")], "page_id long, url string, html string")
+    rows = html_extract.extract(pages).collect()
+    assert len(rows) == 4 and len({r.text for r in rows}) == 2
