@@ -172,13 +172,15 @@ def minimum_rollup(spark, sf_dir):
     return rows.groupBy("source", "lang").agg(F.coalesce(F.min("quality"), F.lit(-1)).alias("confidence"), F.count("quality").alias("n"))
 
 
-@query("""WITH o(lang, max_cer) AS (VALUES ('fr', 0.5), ('de', 0.02)), r AS (SELECT doc_id, lang, (n_chars % 100) / 100.0 AS cer FROM documents)
-SELECT doc_id, cer <= coalesce(max_cer, 0.1) AS quality_pass FROM r LEFT JOIN o USING (lang)""")
+@query("""WITH o(lang, max_cer, max_wer, min_thorn) AS (VALUES ('fr', 0.5, NULL, 0.6), ('de', 0.02, 0.9, NULL)),
+r AS (SELECT doc_id, lang, (n_chars % 100) / 100.0 AS cer, (n_chars % 37) / 37.0 AS wer, (n_chars % 11) / 10.0 AS thorn, (n_chars % 7) / 7.0 AS to_p, (n_chars % 5) / 4.0 AS macron FROM documents)
+SELECT doc_id, cer <= coalesce(max_cer, 0.8) AND wer <= coalesce(max_wer, 0.7) AND thorn >= coalesce(min_thorn, 0.2) AND to_p <= 0.9 AND macron >= 0.25 AS quality_pass FROM r LEFT JOIN o USING (lang)""")
 def quality_gate(spark, sf_dir):
-    """Limits of a group over the default limits."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", ((F.col("n_chars") % 100) / 100.0).alias("cer"), *[F.lit(v).alias(c) for c, v in (("wer", 0.0), ("thorn_recall", 1.0), ("thorn_to_p_rate", 0.0), ("macron_recall", 1.0))])
-    limits = spark.createDataFrame([("fr", 0.5, None, None, None, None), ("de", 0.02, None, None, None, None)], "lang string, max_cer double, max_wer double, min_thorn_recall double, max_thorn_to_p_rate double, min_macron_recall double")
-    return ocr.gate(rows, limits, "lang", {"max_cer": 0.1, "max_wer": 0.5, "min_thorn_recall": 0.2, "max_thorn_to_p_rate": 0.5, "min_macron_recall": 0.2}).select("doc_id", "quality_pass")
+    """Five measures against the limits of a group, or the default limits."""
+    part = lambda m, d, name: ((F.col("n_chars") % m) / float(d)).alias(name)
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", part(100, 100, "cer"), part(37, 37, "wer"), part(11, 10, "thorn_recall"), part(7, 7, "thorn_to_p_rate"), part(5, 4, "macron_recall"))
+    limits = spark.createDataFrame([("fr", 0.5, None, 0.6, None, None), ("de", 0.02, 0.9, None, None, None)], "lang string, max_cer double, max_wer double, min_thorn_recall double, max_thorn_to_p_rate double, min_macron_recall double")
+    return ocr.gate(rows, limits, "lang", {"max_cer": 0.8, "max_wer": 0.7, "min_thorn_recall": 0.2, "max_thorn_to_p_rate": 0.9, "min_macron_recall": 0.25}).select("doc_id", "quality_pass")
 
 
 @query("SELECT a.p_partkey, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -228,16 +230,39 @@ def _words(spark, sf_dir):
 
 _DOUBLE = "[bcdfghjklmnpqrstvwxz]"
 _REDUCED = "regexp_replace(" * 20 + "formi" + "".join(f", '{c}{c}', '{c}', 'g')" for c in "bcdfghjklmnpqrstvwxz")
-_ENDS = ", ".join(f"({k}, '{e.split()[0]}', '{e.split()[1]}')" for k, e in enumerate(morphology.NOUN_ENDINGS["hand"].split(": ")[1].split(", ")))
-
-
-@query(f"""WITH {_WORDS}, e(ord, function, ending) AS (VALUES {_ENDS}),
-f AS (SELECT nid, ord, function, stem || CASE ending WHEN '0' THEN '' ELSE ending END AS form FROM w, e WHERE stem <> ''), g AS (SELECT *, regexp_replace(form, 'y|ie?', 'i', 'g') AS formi FROM f)
-SELECT nid, ord, function, form, formi, 0 AS dup, '' AS probability FROM g UNION ALL SELECT nid, ord, function, form, {_REDUCED}, 1, '1' FROM g WHERE {_REDUCED} <> formi""")
+_V, _C = S.VOWEL, S.CONSONANT
+_syllables = lambda x: f"(len(regexp_extract_all({x}, '{_V}{_C}')) + len(regexp_extract_all({x}, '{_V}$')))"
+_twice = lambda x: "regexp_replace(" * 20 + x + "".join(f", '{c}{c}$', '{c}')" for c in "bcdfghjklmnpqrstvwxz")
+_short = lambda x: f"CASE WHEN {_syllables(x)} > 1 THEN regexp_replace({x}, '{_V}({_C})$', '\\1') ELSE {x} END"
+_fronted = lambda x: f"regexp_replace({x}, 'o({_C})$', 'e\\1')"
+_cut = lambda x: f"regexp_replace(stem, '{x}$', '')"
+_some = lambda first, *more: f"list_filter([{first}, {', '.join(f'CASE WHEN {m} <> {first} THEN {m} END' for m in more) or 'NULL'}], lambda q: q IS NOT NULL AND q <> '')"
+_again = lambda x: f"list_concat({x}, ({x})[2:])"
+_bare = f"regexp_replace({_cut('e')}, '[hH]$', '')"
+#: The stems of each builder as SQL.
+_BUILDERS = {
+    "plain": _some("stem"), "geminate": _some("stem", _twice("stem")), "syncope": _some(_bare, _short(_bare)), "plural": _some(_bare, _twice(_bare), _short(_bare), _fronted(_bare)),
+    "plural_again": _again(_some(_bare, _twice(_bare), _short(_bare), _fronted(_bare))), "oblique": _some(_bare, _short(_bare), _fronted(_bare)), "short": _some("stem", _short("stem")),
+    "short_e": _some(_cut("e"), _short(_cut("e"))), "short_u": _some(_cut("u"), _short(_cut("u"))), "plural_u": _some(_cut("u"), _short(_cut("u")), _twice(_cut("u"))),
+    "plural_u_again": _again(_some(_cut("u"), _short(_cut("u")), _twice(_cut("u")))), "back": _some("stem", "translate(stem, 'æǣ', 'aā')"),
+    "drop_e": _some(_cut("e")), "drop_u": _some(_cut("u")), "drop_a": _some(_cut("a")), "drop_uw": _some(_cut("[uw]")),
+}
+_TABLES = list(morphology.NOUN_ENDINGS)
+_SHAPES = ["stan", "hoppa", "cyneh", "rice", "bearu", "heofon", "mann"]
+_NOUNS = f"w AS (SELECT p_partkey AS nid, {_TABLES}[p_partkey % {len(_TABLES)} + 1] AS name, lower(regexp_extract(p_name, '([A-Za-z]+)$', 1)) || {_SHAPES}[p_partkey % {len(_SHAPES)} + 1] AS stem FROM part)"
+
+
+@query(f"""WITH {_NOUNS}, e(name, step, builder, ord, function, ending) AS (VALUES {", ".join(f"('{n}', {k}, '{b}', {j}, '{f}', '{x}')" for n, k, b, es in morphology.steps() for j, f, x in es)}),
+t AS (SELECT DISTINCT name, step, builder FROM e), s AS (SELECT nid, w.name, step, CASE builder {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _BUILDERS.items())} END AS stems FROM w JOIN t USING (name)),
+u AS (SELECT nid, name, step, unnest(stems) AS x, generate_subscripts(stems, 1) - 1 AS stem_ord FROM s),
+f AS (SELECT nid, u.name, u.step, stem_ord, ord, function, x || CASE ending WHEN '0' THEN '' ELSE ending END AS form FROM u JOIN e ON u.name = e.name AND u.step = e.step), g AS (SELECT *, regexp_replace(form, 'y|ie?', 'i', 'g') AS formi FROM f)
+SELECT nid, name AS paradigm, step, stem_ord::INT AS stem_ord, ord, function, form, formi, 0 AS dup, '' AS probability FROM g UNION ALL SELECT nid, name, step, stem_ord::INT, ord, function, form, {_REDUCED}, 1, '1' FROM g WHERE {_REDUCED} <> formi""")
 def noun_forms(spark, sf_dir):
-    """Words x ending table, with the reduced second row."""
-    words = _words(spark, sf_dir).withColumn("paradigms", F.array(F.lit("hand")))
-    return morphology.noun_forms(words).select("nid", "ord", "function", "form", "formi", "dup", "probability")
+    """Words x all noun tables with their stem builders, with the reduced second row."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    stem = F.concat(F.lower(F.regexp_extract("p_name", "([A-Za-z]+)$", 1)), pick(_SHAPES))
+    words = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), stem.alias("title"), stem.alias("stem"), F.lit("0").alias("prefix"), F.lit("").alias("wright"), F.array(pick(_TABLES)).alias("paradigms"))
+    return morphology.noun_forms(words, compat=False).select("nid", "paradigm", "step", "stem_ord", "ord", "function", "form", "formi", "dup", "probability")
 
 
 _ADVERB = ", ".join(f"({k}, '{f}', '{'' if e == '0' else e}', '{p}', {int(c)})" for k, (f, e, p, c) in enumerate(morphology.ADVERB))
@@ -249,14 +274,6 @@ def adverb_forms(spark, sf_dir):
     return morphology.adverb_forms(_words(spark, sf_dir)).where("dup = 0").select("nid", "ord", "function", "form", "probability")
 
 
-@query(f"""WITH {_WORDS}, s0 AS (SELECT nid, stem || 'dst' AS f FROM w), s1 AS (SELECT nid, f, replace(f, 'dst', 'tst') AS a FROM s0), s2 AS (SELECT nid, f, a, replace(a, 'tst', 'st') AS b FROM s1)
-SELECT nid, 0 AS change, f AS form FROM s2 UNION ALL SELECT nid, 1, a FROM s2 UNION ALL SELECT nid, 2, b FROM s2""")
-def sound_changes(spark, sf_dir):
-    """Ordered, cumulative second person changes; each that fires makes a row."""
-    forms = _words(spark, sf_dir).select("nid", F.lit("PsInSg2").alias("function"), F.concat("stem", F.lit("dst")).alias("form"))
-    return morphology.sound_changes(forms).select("nid", "change", "form").where("change < 3")
-
-
 def _change_sql(form: str, rules: list[tuple[str, str]], literal: bool) -> str:
     """The list of forms that ordered changes derive, as SQL."""
     made, now = [], form
@@ -267,6 +284,20 @@ def _change_sql(form: str, rules: list[tuple[str, str]], literal: bool) -> str:
     return f"list_filter([{', '.join(made)}], lambda x: x IS NOT NULL)"
 
 
+_CHANGED = [("PsInSg2", e) for e in ("dst", "þst", "tst", "ngst", "gst", "st")] + [("PsInSg3", e) for e in ("dþ", "tþ", "þþ", "ngþ", "gþ", "sþ")] + [("PaPt", e) for e in ("ted", "tt", "en")]
+
+
+@query(f"""WITH {_WORDS}, f AS (SELECT nid, {[f for f, _ in _CHANGED]}[nid % {len(_CHANGED)} + 1] AS function, stem || {[e for _, e in _CHANGED]}[nid % {len(_CHANGED)} + 1] AS x FROM w),
+c AS (SELECT nid, function, list_concat([x], CASE function WHEN 'PsInSg2' THEN {_change_sql("x", morphology.SECOND_PERSON, True)} WHEN 'PsInSg3' THEN {_change_sql("x", morphology.THIRD_PERSON, False)} ELSE {_change_sql("x", morphology.PAST_PARTICIPLE, False)} END) AS forms FROM f),
+u AS (SELECT nid, function, unnest(forms) AS form, generate_subscripts(forms, 1) - 1 AS change FROM c)
+SELECT nid, function, change::INT AS change, form, CASE WHEN change = 0 THEN (nid % 3)::VARCHAR ELSE (nid % 3 + 1)::VARCHAR END AS probability FROM u""")
+def sound_changes(spark, sf_dir):
+    """Ordered, cumulative changes of three functions; each that fires makes a row with a higher probability."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _CHANGED]), (F.col("nid") % len(_CHANGED) + 1).cast("int"))
+    forms = _words(spark, sf_dir).select("nid", pick(0).alias("function"), F.concat("stem", pick(1)).alias("form"), (F.col("nid") % 3).cast("string").alias("probability"))
+    return morphology.sound_changes(forms).select("nid", "function", "change", "form", "probability")
+
+
 #: Paradigms of the query below: a strong and a weak one, all parts.
 _PARADIGMS = [
     ("9", "helpan", "s", "3", "", 0, 0, "if", "0", "h", "e", "lp", "0", "0", "an"), ("9", "helpan", "s", "3", "", 0, 1, "painsg1", "0", "h", "ea", "lp", "0", "0", "0"),
@@ -332,18 +363,27 @@ def verb_participles(spark, sf_dir):
     return conjugation.participles(_verbs(spark, sf_dir)).select("nid", "title", "stem", "pspart", "papart")
 
 
-@query(f"WITH {_WORDS} SELECT nid, CASE WHEN regexp_matches(stem, '(sum|lic|isc)$') THEN 'til' WHEN regexp_matches(stem, '(cund|feald|full|iht)$') THEN 'blind' WHEN regexp_matches(stem, '(ihte|ede|wende)$') THEN 'wilde' END AS paradigm FROM w WHERE paradigm IS NOT NULL")
+_SUFFIXES = ["sum", "lic", "isc", "cund", "feald", "full", "iht", "ihte", "ede", "wende", "u", "o"]
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS nid, lower(regexp_extract(p_name, '([A-Za-z]+)$', 1)) || {_SUFFIXES}[p_partkey % {len(_SUFFIXES)} + 1] AS stem, p_partkey % 2 AS numeral FROM part)
+SELECT nid, CASE WHEN regexp_matches(stem, '(sum|lic|isc)$') THEN 'til' WHEN regexp_matches(stem, '(cund|feald|full|iht)$') THEN 'blind' WHEN regexp_matches(stem, '(ihte|ede|wende)$') THEN 'wilde' ELSE 'gearu' END AS paradigm,
+  CASE WHEN contains(stem, 'feald') THEN 0 ELSE numeral END::INT AS numeral FROM w""")
 def adjective_suffixes(spark, sf_dir):
-    """Adjective labels that the suffix decides."""
-    return morphology.adjective_paradigms(_words(spark, sf_dir)).where(F.col("stem").rlike("(sum|lic|isc|cund|feald|full|iht|ihte|ede|wende)$")).select("nid", "paradigm")
+    """Adjective labels that the ending decides, and the numeral flag that one of them clears."""
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("nid") % len(_SUFFIXES) + 1).cast("int"))
+    words = _words(spark, sf_dir).withColumn("stem", F.concat("stem", suffix)).withColumn("numeral", (F.col("nid") % 2).cast("int"))
+    return morphology.adjective_paradigms(words).select("nid", "paradigm", "numeral")
 
 
-@query(f"""WITH {_WORDS}, r AS (SELECT nid, stem, regexp_extract(stem, '^[^aeiouy]*([aeiouy][aeiouy]?)([^aeiouy]*)(.*)$', ['v', 'c', 'r']) AS x FROM w)
+@query(f"""WITH w0 AS (SELECT p_partkey AS nid, lower(regexp_extract(p_name, '([A-Za-z]+)$', 1)) AS s FROM part), w AS (SELECT nid, CASE nid % 3 WHEN 0 THEN translate(s, 'aeiou', 'āēīōū') WHEN 1 THEN s || 'scēge' ELSE s END AS stem FROM w0),
+r AS (SELECT nid, stem, regexp_extract(stem, '^.*?({VOWELS}{VOWELS}?)({CONSONANTS}*)(.*)$', ['v', 'c', 'r']) AS x FROM w)
 SELECT nid, (len(regexp_extract_all(stem, '{VOWELS}{CONSONANTS}')) + len(regexp_extract_all(stem, '{VOWELS}$')))::INT AS syllables,
-  CASE WHEN x.v = '' THEN 0 WHEN length(replace(replace(x.c, 'sc', 's'), 'cg', 'c')) > 1 OR (x.r = '' AND x.c <> '') THEN 1 ELSE 0 END AS long_stem FROM r""")
+  CASE WHEN x.v = '' THEN 0 WHEN regexp_matches(x.v, '{S.LONG_VOWEL}') OR length(replace(replace(x.c, 'sc', 's'), 'cg', 'c')) > 1 OR (x.r = '' AND x.c <> '') THEN 1 ELSE 0 END AS long_stem FROM r""")
 def stem_shapes(spark, sf_dir):
     """Syllables and stem length."""
-    return _words(spark, sf_dir).select("nid", S.syllable_count(F.col("stem")).alias("syllables"), S.stem_length(F.col("stem")).alias("long_stem"))
+    stem = F.when(F.col("nid") % 3 == 0, F.translate("stem", "aeiou", "āēīōū")).when(F.col("nid") % 3 == 1, F.concat("stem", F.lit("scēge"))).otherwise(F.col("stem"))
+    return _words(spark, sf_dir).withColumn("stem", stem).select("nid", S.syllable_count(F.col("stem")).alias("syllables"), S.stem_length(F.col("stem")).alias("long_stem"))
 
 
 @query(f"""WITH {LINES}, m AS (SELECT doc_id, line_number, line, regexp_extract(line, '^\\s*([\\[\\(]?[0-9]+[\\]\\.\\)]?|[IVXLCDMivxlcdm]+[\\]\\.\\)]?)(?:\\s+|$)', 1) AS m FROM t)
@@ -447,19 +487,21 @@ def numeral_forms(spark, sf_dir):
     return declension.numeral_forms(words).where("dup = 0").select("nid", "ord", "function", "form", "probability")
 
 
-_STRONG = ", ".join(f"({k}, 'Po{e[1:].split()[0]}', '{e.split()[1].split('-')[1]}', '{e.split()[2]}')" for k, e in enumerate(declension.STRONG["blind"].split(", ")))
+_PLAIN = [k for k, v in declension.STRONG.items() if ">" not in v]
+_STRONG = ", ".join(f"('{k}', {j}, 'Po{e[1:].split()[0]}', '{e.split()[1].split('-')[1]}', '{e.split()[2]}')" for k in _PLAIN for j, e in enumerate(declension.STRONG[k].split(", ")))
 
 
-@query(f"""WITH {_WORDS}, e(ord, function, ending, probability) AS (VALUES {_STRONG})
-SELECT nid, ord, function, stem || CASE ending WHEN '0' THEN '' ELSE ending END AS form, probability FROM w, e""")
+@query(f"""WITH {_WORDS}, e(paradigm, ord, function, ending, probability) AS (VALUES {_STRONG})
+SELECT nid, paradigm, ord, function, stem || CASE ending WHEN '0' THEN '' ELSE ending END AS form, probability FROM w JOIN e ON e.paradigm = {_PLAIN}[nid % {len(_PLAIN)} + 1]""")
 def adjective_strong_forms(spark, sf_dir):
-    """Words declined as strong adjectives of the first table."""
-    return _adjectives(spark, sf_dir).where("dup = 0 and part = 0").select("nid", "ord", "function", "form", "probability")
+    """Words declined as strong adjectives of the tables that leave the stem as it is."""
+    paradigm = F.element_at(F.array(*map(F.lit, _PLAIN)), (F.col("nid") % len(_PLAIN) + 1).cast("int"))
+    return _adjectives(spark, sf_dir, paradigm).where("dup = 0 and part = 0").select("nid", "paradigm", "ord", "function", "form", "probability")
 
 
-def _adjectives(spark, sf_dir):
-    flags = {"paradigm": "blind", "adjective": 1, "numeral": 0, "pronoun": 0, "papart": 0, "pspart": 0}
-    return declension.adjective_forms(_words(spark, sf_dir).withColumns({k: F.lit(v) for k, v in flags.items()}))
+def _adjectives(spark, sf_dir, paradigm=None):
+    flags = {"adjective": 1, "numeral": 0, "pronoun": 0, "papart": 0, "pspart": 0}
+    return declension.adjective_forms(_words(spark, sf_dir).withColumn("paradigm", F.lit("blind") if paradigm is None else paradigm).withColumns({k: F.lit(v) for k, v in flags.items()}))
 
 
 @query()
