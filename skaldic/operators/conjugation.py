@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import spread
 from . import morphology
 
 # Rows (ending, function, what is added to the probability) that follow each principal part.
@@ -94,7 +95,7 @@ def stem_parts(verbs: DataFrame, paradigms: DataFrame) -> DataFrame:
     seeds = paradigms.groupBy("para_id").agg(*[S.empty_if_zero(first(p, c)).alias(n) for p, c, n in (("if", "boundary", "boundary_inf"), ("if", "vowel", "vowel_inf"), ("painsg1", "vowel", "vowel_pa"))])
     own = ("prefix", "pre_vowel", "vowel", "post_vowel", "ending", "dental")
     parts = paradigms.withColumnsRenamed({c: f"item_{c}" for c in own}).join(seeds, "para_id")
-    df = verbs.select("nid", "title", "stem", F.coalesce("prefix", F.lit("")).alias("word_prefix"), "wright", "para_id").join(parts, "para_id")
+    df = spread(verbs).select("nid", "title", "stem", F.coalesce("prefix", F.lit("")).alias("word_prefix"), "wright", "para_id").join(parts, "para_id")
     prefix = F.when(F.col("word_prefix") == F.col("item_prefix"), F.col("word_prefix")).otherwise(F.concat_ws("-", "word_prefix", "item_prefix"))
     post = F.when(S.empty_if_zero(F.col("item_post_vowel")) == "", "").otherwise(post_vowel(F.col("stem"), F.col("boundary_inf")))
     return df.withColumns({"prefix": prefix, "pre_vowel": pre_vowel(F.col("stem")), "root": root_vowel(F.col("stem")), "post_vowel": post})

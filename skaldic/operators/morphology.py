@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..storage import stored
+from ..storage import spread, stored
 
 # Endings of the noun paradigms. A step is `builder: function ending, ...`; 0 is no ending.
 NOUN_ENDINGS = {
@@ -96,10 +96,11 @@ def steps() -> list[tuple]:
 def with_reduced(forms: DataFrame) -> DataFrame:
     """Add formi, the plain form, and a second row with probability + 1 where a doubled consonant can be written once."""
     forms = forms.withColumn("formi", S.normalize_output(F.col("form")))
-    reduced = F.regexp_replace("formi", f"({S.CONSONANT})\\1", "$1")
+    forms = forms.withColumn("__reduced", F.regexp_replace("formi", f"({S.CONSONANT})\\1", "$1"))
     own = F.struct(F.lit(0).alias("dup"), F.col("formi").alias("formi"), F.col("probability").alias("probability"))
-    second = F.when(reduced != F.col("formi"), F.struct(F.lit(1).alias("dup"), reduced.alias("formi"), S.raise_probability(F.col("probability")).alias("probability")))
-    return forms.withColumn("row", F.explode(F.array_compact(F.array(own, second)))).drop("formi", "probability").select("*", "row.*").drop("row")
+    second = F.struct(F.lit(1).alias("dup"), F.col("__reduced").alias("formi"), S.raise_probability(F.col("probability")).alias("probability"))
+    rows = F.when(F.col("__reduced") != F.col("formi"), F.array(own, second)).otherwise(F.array(own))
+    return forms.withColumn("row", F.explode(rows)).drop("formi", "probability", "__reduced").select("*", "row.*").drop("row")
 
 
 def _finish(rows: DataFrame, stage: int, wordclass: str) -> DataFrame:
@@ -114,7 +115,7 @@ def noun_forms(words: DataFrame, compat: bool = True) -> DataFrame:
     With compat, labels are taken as the assigner writes them: `stán`, `beadu` and `béo` have no endings, and a
     word whose first label is `word` runs that table once more than it has labels for each label. Without, `stán` is `stān`.
     """
-    rows = words.select("nid", "title", "stem", F.coalesce(F.nullif("prefix", F.lit("")), F.lit("0")).alias("prefix"), "wright", "paradigms", F.posexplode("paradigms").alias("para_ord", "paradigm"))
+    rows = spread(words).select("nid", "title", "stem", F.coalesce(F.nullif("prefix", F.lit("")), F.lit("0")).alias("prefix"), "wright", "paradigms", F.posexplode("paradigms").alias("para_ord", "paradigm"))
     if not compat:
         rows = rows.withColumn("paradigm", F.when(F.col("paradigm") == "stán", "stān").otherwise(F.col("paradigm")))
     else:
@@ -142,7 +143,7 @@ def adverb_forms(words: DataFrame) -> DataFrame:
     cut = F.when(F.col("stem").isin(IRREGULAR_ADVERBS), F.col("stem")).otherwise(F.regexp_replace("stem", "[eE]$", ""))
     ends = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f).alias("function"), F.lit(e).alias("ending"), F.lit(p).alias("probability"), (cut if c else F.col("stem")).alias("s")) for k, (f, e, p, c) in enumerate(ADVERB)])
     irregular = F.col("stem").isin(IRREGULAR_ADVERBS)
-    rows = words.select("nid", "title", "stem", "prefix", "wright", F.explode(ends).alias("e")).select("*", "e.*").drop("e").where(~irregular | (F.col("function") == "Po"))
+    rows = spread(words).select("nid", "title", "stem", "prefix", "wright", F.explode(ends).alias("e")).select("*", "e.*").drop("e").where(~irregular | (F.col("function") == "Po"))
     return _finish(rows, 4, "adverb")
 
 

@@ -103,7 +103,7 @@ _INDEX = f"v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORD}')) AS
 
 def _index(spark, sf_dir):
     """Spellings of all documents: different words are found before they are normalised."""
-    words = diacritics.tokens(read(spark, sf_dir, "documents")).select("word").distinct()
+    words = diacritics.words(read(spark, sf_dir, "documents")).distinct()
     return diacritics.build_index(words.select(S.normalize_old_english(F.col("word")).alias("key"), F.lower("word").alias("form")))
 
 

@@ -24,3 +24,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{where.rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(words: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before each becomes many: a small file is one task's scan, and its forms would all be made there."""
+    return words.repartition(2 * words.sparkSession.sparkContext.defaultParallelism)
