@@ -29,12 +29,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKETS, GROUP = 64, 1_000_000
 #: Entries of the word cache of a Python worker before it is emptied.
 CACHE = 400_000
+#: Marks that often close a word.
+CLOSING = frozenset(b".,;:!?"[k : k + 1] for k in range(6))
+#: Encoders of this worker process by path: its next tasks know the words already.
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and never joins across it, so texts are encoded word by word, every word by the
+    The tokenizer drops white space and never joins across it, so texts are encoded word by word, all by the
     tokenizer itself, and words are remembered. Texts with characters beyond Latin-1 or with `<|` (special tokens)
     go to the tokenizer as they are.
     """
@@ -53,10 +57,30 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
+        """Remember the ids of words. The tokenizer parts letters from what follows them, so a word's closing mark is encoded apart."""
         if len(self.word) >= CACHE:
             self.word.clear()
-        some = list(words)
-        for w, found in zip(some, self.tokenizer.encode_batch_fast([w.decode("latin-1") for w in some], add_special_tokens=False)):
+        closed = [w for w in words if w[-1:] in CLOSING and w[:-1].decode("latin-1").isalpha()]
+        plain = {w for w in words if w.decode("latin-1").isalpha()} | {w[:-1] for w in closed if w[:-1] not in self.word}
+        marks = {w[-1:] for w in closed if w[-1:] not in self.word}
+        self.together(sorted(plain))
+        self.apart([*marks, *words.difference(plain, closed)])
+        for w in closed:
+            self.word[w] = self.word[w[:-1]] + self.word[w[-1:]]
+
+    def together(self, words: list[bytes]) -> None:
+        """Words of letters only, in one call; each must come back as one word."""
+        found = self.tokenizer.encode(" ".join([w.decode("latin-1") for w in words]), add_special_tokens=False)
+        ids, of = array("I", found.ids), found.word_ids
+        cuts = [k for k in range(len(of)) if not k or of[k] != of[k - 1]]
+        if len(cuts) != len(words):
+            return self.apart(words)
+        raw = ids.tobytes()
+        for w, x, y in zip(words, cuts, [*cuts[1:], len(of)]):
+            self.word[w] = raw[4 * x : 4 * y]
+
+    def apart(self, words: list[bytes]) -> None:
+        for w, found in zip(words, self.tokenizer.encode_batch_fast([w.decode("latin-1") for w in words], add_special_tokens=False)):
             self.word[w] = array("I", found.ids).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -76,7 +100,7 @@ class WordEncoder:
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

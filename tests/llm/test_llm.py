@@ -602,3 +602,14 @@ def test_html_long_and_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE)] * 3 + [(1, "u", f"<p>{LONG_TEXT}")], "page_id long, url string, html string")
     rows = html_extract.extract(pages).collect()
     assert len(rows) == 4 and len({r.text for r in rows}) == 2
+
+
+def test_remembered_words_equal_the_tokenizer(monkeypatch):
+    rng = random.Random(11)
+    for cache in (400_000, 50):
+        monkeypatch.setattr(packing, "CACHE", cache)
+        encoder = packing.WordEncoder(word_bpe())
+        for _ in range(300):
+            words = ["".join(rng.choice("abcdefghiéßäøµªº") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", ",", "!", "'s", "...", "9", "-x", "?."]) for _ in range(rng.randrange(40))]
+            text = " ".join(rng.choice([w, w.upper(), w.title()]) for w in words)
+            assert encoder.encode(text) == encoder.whole(text), text
