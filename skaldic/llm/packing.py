@@ -91,11 +91,11 @@ class WordEncoder:
         if b"<|" in latin:
             return self.whole(text)
         words = latin.translate(self.LOWER).split()
-        found = list(map(self.word.get, words))
-        if None in found:
-            self.learn({w for w, f in zip(words, found) if f is None} if len(self.word) < CACHE else set(words))
-            found = list(map(self.word.get, words))
-        return b"".join(found)
+        different = set(words)
+        new = different.difference(self.word)
+        if new:
+            self.learn(new if len(self.word) < CACHE else different)
+        return b"".join(map(self.word.__getitem__, words))
 
 
 def _cut(path: str, capacity: int):
