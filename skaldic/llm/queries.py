@@ -100,12 +100,19 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM do
 h AS (SELECT doc_id, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT % 2147483647) AS h FROM d),
 r AS (SELECT doc_id, l, list_transform(range(1, len(l)), lambda i: (h[i] * 31 + h[i + 1]) % 2147483647) AS r FROM h),
 e AS (SELECT doc_id, l, list_transform(list_filter(range(2, len(r)), lambda j: r[j] < r[j - 1] AND r[j] < r[j + 1]), lambda j: j + 1) AS e FROM r),
-c AS (SELECT doc_id, l, unnest(list_zip(list_concat([1], list_transform(e, lambda x: x + 1)), list_concat(e, [len(l)]))) AS c FROM e),
-chunks AS (SELECT doc_id, c[1] AS a, c[2] - c[1] + 1 AS lines, array_to_string(l[c[1]:c[2]], chr(10)) AS body FROM c),
-marked AS (SELECT *, (lines > 1 AND trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AND row_number() OVER (PARTITION BY body ORDER BY doc_id, a) > 1) AS gone FROM chunks)
-SELECT doc_id, sum(lines)::INT AS n_lines, count(*)::INT AS n_chunks, (count(*) FILTER (gone))::INT AS n_removed_chunks, coalesce(sum(lines) FILTER (gone), 0)::INT AS n_removed_lines,
-  coalesce(string_agg(body, chr(10) ORDER BY a) FILTER (NOT gone), '') AS text
-FROM marked GROUP BY doc_id"""
+c AS (SELECT doc_id, l, list_concat([1], list_transform(e, lambda x: x + 1)) AS s, list_concat(e, [len(l)]) AS e FROM e),
+i AS (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM c),
+chunks AS (SELECT doc_id, s[i] AS a, e[i] AS b, array_to_string(l[s[i]:e[i]], chr(10)) AS body,
+  CASE WHEN i = 1 THEN [] ELSE list_reverse(l[greatest(1, s[i - 1] - 2):s[i] - 1]) END AS before, CASE WHEN i = len(e) THEN [] ELSE l[e[i] + 1:e[i + 1]] END AS after FROM i),
+placed AS (SELECT *, row_number() OVER w AS nth, first_value(before) OVER w AS before0, first_value(after) OVER w AS after0 FROM chunks
+  WHERE b > a AND trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' WINDOW w AS (PARTITION BY body ORDER BY doc_id, a)),
+later AS (SELECT doc_id, a,
+  a - len(list_filter(range(1, least(len(before), len(before0)) + 1), lambda k: before[1:k] = before0[1:k])) AS low,
+  b + len(list_filter(range(1, least(len(after), len(after0)) + 1), lambda k: after[1:k] = after0[1:k])) AS high FROM placed WHERE nth > 1),
+gone AS (SELECT doc_id, count(DISTINCT a) AS chunks, list_distinct(flatten(list(range(low, high + 1)))) AS gone FROM later GROUP BY doc_id)
+SELECT doc_id, len(l)::INT AS n_lines, len(e)::INT AS n_chunks, coalesce(chunks, 0)::INT AS n_removed_chunks, coalesce(len(gone), 0)::INT AS n_removed_lines,
+  CASE WHEN gone IS NULL THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda k: NOT list_contains(gone, k)), lambda k: l[k]), chr(10)), '') END AS text
+FROM c LEFT JOIN gone USING (doc_id)"""
 
 _PERSPECTIVES = """
 WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),

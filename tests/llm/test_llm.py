@@ -221,6 +221,22 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    """A shared passage that holds a chunk goes as a whole, whatever stands around it, and nothing else goes."""
+    rng, texts, left = random.Random(9), [], {}
+    for k in range(60):
+        passage = [prose(3000 + 20 * k + j, 9) for j in range(rng.randrange(9, 14))]
+        for c in range(3):
+            own = [prose(9000 + 100 * k + 30 * c + j, 7) for j in range(rng.randrange(2, 12))]
+            at = rng.randrange(len(own) + 1)
+            doc = 3 * k + c
+            texts.append((doc, "\n".join([*own[:at], *passage, *own[at:]])))
+            left[doc] = texts[-1][1] if c == 0 else "\n".join(own)
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(found[d].text == t for d, t in left.items() if d % 3 == 0 or found[d].n_removed_chunks)
+    assert sum(found[d].text == t for d, t in left.items()) >= 170
+
+
 def test_suffix_order_and_prefixes(monkeypatch):
     rng = random.Random(2)
     for trial in range(120):
@@ -374,16 +390,27 @@ def brute_chunks(lines):
     return list(zip([0, *ends], ends))
 
 
+def alike(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def brute_line_dedup(rows):
     """The texts after removal, by row key; `rows` (place, text) in the order that decides which occurrence stays."""
-    seen, out = {}, {}
+    first, out = {}, {}
     for place, text in sorted(rows):
-        lines, kept = (text or "").split("\n"), []
-        for a, b in brute_chunks(lines):
+        lines, gone = (text or "").split("\n"), set()
+        chunks = brute_chunks(lines)
+        for k, (a, b) in enumerate(chunks):
             body = "\n".join(lines[a:b])
-            if b - a < 2 or not body.strip(" \t\n\x0b\x0c\r") or seen.setdefault(body, (place, a)) == (place, a):
-                kept.append(body)
-        out[place] = "\n".join(kept)
+            if b - a < 2 or not body.strip(" \t\n\x0b\x0c\r"):
+                continue
+            before = lines[max(0, chunks[k - 1][0] - line_dedup.REACH) : a][::-1] if k else []
+            after = lines[b : chunks[k + 1][1]] if k + 1 < len(chunks) else []
+            if body not in first:
+                first[body] = before, after
+            else:
+                gone |= set(range(a - alike(before, first[body][0]), b + alike(after, first[body][1])))
+        out[place] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
@@ -392,6 +419,8 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, limit):
     from skaldic.llm import common
 
     monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(line_dedup, "SPREAD", 1024 if limit else 2)
     rng, passages = random.Random(3), [[prose(70 + k, 6) for k in range(j, j + 9)] for j in (0, 9, 18)]
     texts = []
     for k in range(40):
