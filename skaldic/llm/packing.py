@@ -10,11 +10,14 @@ in parallel: by length and by a hash bucket, so that no length, however common,
 
 from __future__ import annotations
 
+import ctypes
 import os
+import threading
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ BUCKETS, GROUP = 64, 1_000_000
 CACHE = 400_000
 #: Marks that often close a word.
 CLOSING = frozenset(b".,;:!?"[k : k + 1] for k in range(6))
-#: Encoders of this worker process by path: its next tasks know the words already.
+#: Encoders of this worker process by path: its next tasks know the words already. Workers outlive their tasks, so
+#: encoders that no task has used for IDLE seconds go, and other operators' tasks have the memory.
 _ENCODERS: dict[str, WordEncoder] = {}
+IDLE = 2.0
 
 
 class WordEncoder:
@@ -98,9 +103,32 @@ class WordEncoder:
         return b"".join(map(self.word.__getitem__, words))
 
 
+def _drop() -> None:
+    """Forget the encoders and hand what they took back to the system, where the C library can."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
+@contextmanager
+def lent(path: str) -> Iterator[WordEncoder]:
+    """This process's encoder for a task; it is dropped if no other task asks for one within IDLE seconds."""
+    for waiting in [t for t in threading.enumerate() if t.name == "idle encoders"]:
+        waiting.cancel()
+    try:
+        yield _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+    finally:
+        end = threading.Timer(IDLE, _drop)
+        end.name, end.daemon = "idle encoders", True
+        end.start()
+
+
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+        with lent(path) as encoder:
+            yield from pieces(batches, encoder)
+
+    def pieces(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

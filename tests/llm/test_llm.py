@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -642,3 +643,17 @@ def test_remembered_words_equal_the_tokenizer(monkeypatch):
             words = ["".join(rng.choice("abcdefghiéßäøµªº") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", ",", "!", "'s", "...", "9", "-x", "?."]) for _ in range(rng.randrange(40))]
             text = " ".join(rng.choice([w, w.upper(), w.title()]) for w in words)
             assert encoder.encode(text) == encoder.whole(text), text
+
+
+def test_idle_encoders_go(monkeypatch):
+    """An encoder stays for a task that follows at once and is dropped when none does."""
+    monkeypatch.setattr(packing, "IDLE", 0.3)
+    path = word_bpe()
+    with packing.lent(path) as first:
+        first.encode("one word")
+    with packing.lent(path) as second:
+        assert second is first
+        time.sleep(0.6)
+        assert packing._ENCODERS[path] is first
+    time.sleep(0.9)
+    assert path not in packing._ENCODERS
