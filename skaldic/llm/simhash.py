@@ -249,14 +249,24 @@ def _crowded(many: DataFrame, star: DataFrame, texts: DataFrame, shingle: int, s
     return full.groupBy("band", "key", "x", "y").applyInArrow(_compare(similarity), "u long, v long")
 
 
+def _at_two_bits(nodes: DataFrame, crowd: int) -> DataFrame:
+    """Candidates (u, v) among `nodes` (node, fp): operator 6's search, so all links at 2 or fewer differing bits are joined by them."""
+    fps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("k")), "fps")
+    same = nodes.select("fp", "node").join(fps.where("k > 1").select("fp", "rep"), "fp").where("node <> rep")
+    found = links(fps.select("fp", "rep"), crowd).unionByName(same.select(F.col("rep").alias("u"), F.col("node").alias("v")))
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, component_id, kept) for every row with a doc_id; th is a hash of the text, for doc_ids that repeat.
 
-    Texts with equal lower-cased words are one node. Nodes that share a min-hash key are candidates. Those whose
-    numbers of shingles can't reach the similarity go, then those whose distances to some reference fingerprint
-    differ by more than FARTHEST (pivot tables) or whose fingerprints do, and all survivors are verified on the whole
-    texts: pair by pair under keys of up to `crowd` nodes; under larger ones first against the key's smallest
-    node, then in blocks (_crowded). `kept` marks the rows with the smallest (doc_id, th) of their component.
+    Texts with equal lower-cased words are one node. Candidates are the links of operator 6's search by pivot
+    distance tables over the fingerprints (`links`: 2 or fewer differing bits, none missed), and, as similar texts
+    often differ in more bits than any such search can afford, also nodes that share a min-hash key. Of the latter,
+    those whose numbers of shingles can't reach the similarity go, then those whose distances to some reference
+    fingerprint differ by more than FARTHEST (pivot tables) or whose fingerprints do. All survivors are verified on
+    the whole texts: pair by pair under keys of up to `crowd` nodes; under larger ones first against the key's
+    smallest node, then in blocks (_crowded). `kept` marks the rows with the smallest (doc_id, th) of their component.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     found = materialize(rows.mapInArrow(_sketch(shingle), SKETCH), "sketches")
@@ -273,7 +283,8 @@ def grouped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: i
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & alike("x", "y") & close("x", "y"))
     pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     many = materialize(keyed.select("band", "key", "node").join(sizes.where(F.col("k") > crowd).select("band", "key", "head"), ["band", "key"]), "many")
-    pairs = materialize(pairs.unionByName(many.select(F.col("head").alias("u"), F.col("node").alias("v")).where("u < v")).distinct(), "pairs")
+    pairs = pairs.unionByName(many.select(F.col("head").alias("u"), F.col("node").alias("v")).where("u < v"))
+    pairs = materialize(pairs.unionByName(_at_two_bits(nodes, crowd)).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(many.select(F.col("node").alias("id"))).distinct()
     wanted = nodes.join(ids, F.col("node") == F.col("id"), "left_semi").select(F.xxhash64("doc_id", "th").alias("place"), "doc_id", "th", "node")
     wanted = materialize(wanted, "wanted")

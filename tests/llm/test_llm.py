@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,38 @@ def test_similar_groups_equal_brute_force_on_near_copies(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
 
 
+@pytest.mark.parametrize("crowd", [48, 2])
+def test_pivot_tables_alone_find_every_link_at_two_bits(spark, monkeypatch, crowd):
+    """Without any min-hash key, the groups are those of all pairs at 2 bits and Jaccard 0.8."""
+    sketch = simhash._sketch
+
+    def keyless(shingle):
+        def run(batches):
+            for batch in sketch(shingle)(batches):
+                none = pa.array([[]] * len(batch), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], none], batch.schema.names)
+
+        return run
+
+    monkeypatch.setattr(simhash, "_sketch", keyless)
+    rng, texts = random.Random(12), []
+    for k in range(12):
+        words = prose(800 + k, 900).split()
+        for c in range(6):
+            copy = words.copy()
+            if c > 3:  # the opening words once more: a few shingles more
+                copy += words[: 5 * c]
+            elif c:
+                copy[rng.randrange(900)] = f"y{k}x{c}"
+            texts.append((6 * k + c, " ".join(copy)))
+    sets = [(k, set(zip(*[t.split()[j:] for j in range(5)]))) for k, t in texts]
+    fps = {k: simhash.majority(np.unique(simhash.shingles(t.encode(), 5))) for k, t in texts}
+    wanted = brute_groups([(k, (s, fps[k])) for k, s in sets], lambda x, y: (x[1] ^ y[1]).bit_count() <= 2 and len(x[0] & y[0]) >= 0.8 * len(x[0] | y[0]))
+    assert 12 <= len(set(wanted.values())) < 50
+    found = simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string"), crowd=crowd)
+    assert {r.doc_id: r.component_id for r in found.collect()} == wanted
+
+
 def brute_overlaps(texts, items):
     """Items of each document by laying every item over every place."""
     out = {}
