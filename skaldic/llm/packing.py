@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import threading
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -32,20 +34,62 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BUCKETS, GROUP = 64, 1_000_000
 #: Entries of the word cache of a Python worker before it is emptied.
 CACHE = 400_000
-#: Marks that often close a word.
-CLOSING = frozenset(b".,;:!?"[k : k + 1] for k in range(6))
 #: Encoders of this worker process by path: its next tasks know the words already. Workers outlive their tasks, so
 #: encoders that no task has used for IDLE seconds go, and other operators' tasks have the memory.
 _ENCODERS: dict[str, WordEncoder] = {}
 IDLE = 2.0
 
 
+def _classes() -> tuple[bytes, bytes, bytes]:
+    """Latin-1 letters, numbers and all other characters but the tokenizer's white space, escaped for a set in a pattern."""
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "": []}
+    for b in range(256):
+        if b not in SPACE_BYTES:
+            kind = unicodedata.category(chr(b))[0]
+            kinds[kind if kind in kinds else ""].append(b)
+    return tuple(b"".join(b"\\x%02x" % b for b in found) for found in kinds.values())
+
+
+#: White space of the tokenizer within Latin-1; bytes.split() knows all but the last two.
+SPACE_BYTES = frozenset(b" \t\n\x0b\x0c\r\x85\xa0")
+#: The tokenizer's own split of a lowered word into parts, over Latin-1 bytes.
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[%b]+|[%b]|[%b]+" % _classes()).findall
+
+
+def _byte_level() -> dict[int, str]:
+    """What the tokenizer's byte level makes of each Latin-1 character: its UTF-8 bytes, those that can't be printed moved to 256 and up."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in printed]
+    names = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(moved)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
+class Words(dict[bytes, bytes]):
+    """Ids of lowered Latin-1 words. A word asked for the first time is parted, its parts are encoded by the tokenizer's model."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize = tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        parts = _PARTS(word)
+        if len(parts) == 1:
+            ids = array("I", [t.id for t in self.tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
 
-    The tokenizer drops white space and never joins across it, so texts are encoded word by word, all by the
-    tokenizer itself, and words are remembered. Texts with characters beyond Latin-1 or with `<|` (special tokens)
-    go to the tokenizer as they are.
+    The tokenizer drops white space and never joins across it or across the parts of a word, so every different
+    part is encoded by the tokenizer's own model, without its slow normalizing and splitting of whole texts, and words
+    are remembered. Texts with characters beyond Latin-1 or with `<|` (special tokens) go to the tokenizer as they are.
     """
 
     #: Latin-1 lowered; its two spaces beyond ASCII become blanks.
@@ -56,38 +100,11 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.word: dict[bytes, bytes] = {}
+        self.word = Words(self.tokenizer.model.tokenize)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Remember the ids of words. The tokenizer parts letters from what follows them, so a word's closing mark is encoded apart."""
-        if len(self.word) >= CACHE:
-            self.word.clear()
-        closed = [w for w in words if w[-1:] in CLOSING and w[:-1].decode("latin-1").isalpha()]
-        plain = {w for w in words if w.decode("latin-1").isalpha()} | {w[:-1] for w in closed if w[:-1] not in self.word}
-        marks = {w[-1:] for w in closed if w[-1:] not in self.word}
-        self.together(sorted(plain))
-        self.apart([*marks, *words.difference(plain, closed)])
-        for w in closed:
-            self.word[w] = self.word[w[:-1]] + self.word[w[-1:]]
-
-    def together(self, words: list[bytes]) -> None:
-        """Words of letters only, in one call; each must come back as one word."""
-        found = self.tokenizer.encode(" ".join([w.decode("latin-1") for w in words]), add_special_tokens=False)
-        ids, of = array("I", found.ids), found.word_ids
-        cuts = [k for k in range(len(of)) if not k or of[k] != of[k - 1]]
-        if len(cuts) != len(words):
-            return self.apart(words)
-        raw = ids.tobytes()
-        for w, x, y in zip(words, cuts, [*cuts[1:], len(of)]):
-            self.word[w] = raw[4 * x : 4 * y]
-
-    def apart(self, words: list[bytes]) -> None:
-        for w, found in zip(words, self.tokenizer.encode_batch_fast([w.decode("latin-1") for w in words], add_special_tokens=False)):
-            self.word[w] = array("I", found.ids).tobytes()
-
     def encode(self, text: str) -> bytes:
         try:
             latin = text.encode("latin-1")
@@ -95,12 +112,9 @@ class WordEncoder:
             return self.whole(text)
         if b"<|" in latin:
             return self.whole(text)
-        words = latin.translate(self.LOWER).split()
-        different = set(words)
-        new = different.difference(self.word)
-        if new:
-            self.learn(new if len(self.word) < CACHE else different)
-        return b"".join(map(self.word.__getitem__, words))
+        if len(self.word) >= CACHE:
+            self.word.clear()
+        return b"".join(map(self.word.__getitem__, latin.translate(self.LOWER).split()))
 
 
 def _drop() -> None:

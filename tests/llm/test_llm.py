@@ -690,3 +690,13 @@ def test_idle_encoders_go(monkeypatch):
         assert packing._ENCODERS[path] is first
     time.sleep(0.9)
     assert path not in packing._ENCODERS
+
+
+def test_latin_words_need_only_the_tokenizers_model():
+    """All pairs of Latin-1 characters within a word, without a call of the tokenizer's normalizing and splitting."""
+    encoder, other = packing.WordEncoder(word_bpe()), packing.WordEncoder(word_bpe())
+    encoder.tokenizer = None
+    some = [chr(c) for c in range(256)]
+    for a in some:
+        text = " ".join(f"{a}{b} q{a}{b}s" for b in some if a + b != "<|")
+        assert encoder.encode(text) == other.whole(text), repr(a)
