@@ -1,7 +1,7 @@
 """Induced suffix sorting with common-prefix values, on queues that go to disk.
 
 Suffixes that start a falling-rising step of the text (left-most S) are ordered by naming the pieces between
-them and, where names repeat, by sorting the string of names in the same way. One rising scan over the buckets
+them and, where names repeat, by ordering the string of names, which is in memory, by doubling. One rising scan over the buckets
 of first characters induces all L suffixes from them, one falling scan all S suffixes. A scan takes suffixes
 in final order and puts their left neighbours into first-in-first-out queues, one for each character, so that
 the queues together are a priority queue by character and arrival; each holds tuples of a position and the
@@ -12,7 +12,6 @@ The common prefix of two induced neighbours is one more than the least value sca
 from __future__ import annotations
 
 import tempfile
-from itertools import pairwise
 
 import numpy as np
 
@@ -50,19 +49,29 @@ class Queues:
         return parts[0] if len(parts) == 1 else np.concatenate(parts, axis=-1)
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of the common prefixes of the suffixes at a and b, up to `most`. `text` ends in `most` + 8 spare bytes."""
-    words = np.lib.stride_tricks.sliding_window_view(text, 8)
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of `raw` on as one number, the first byte lowest."""
+    out = np.empty(len(raw) - 7, np.uint64)
+    for k in range(8):
+        part = raw[k : k + (len(raw) - k) // 8 * 8].view("<u8")
+        out[k::8] = part
+    return out
+
+
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at a and b, up to `most`. `words`: eights() of a text that ends in `most` + 8 spare bytes."""
     out = np.full(len(a), most, np.int64)
     open_ = np.arange(len(a))
     for k in range(0, most, 8):
         if not len(open_):
             break
-        x = words[np.minimum(a[open_] + k, len(words) - 1)] != words[np.minimum(b[open_] + k, len(words) - 1)]
-        found = x.any(1)
-        at = open_[found]
-        out[at] = np.minimum(k + x[found].argmax(1), most)
-        open_ = open_[~found]
+        x = words[np.minimum(a + k, len(words) - 1)] ^ words[np.minimum(b + k, len(words) - 1)]
+        differ = x != 0
+        lowest = x[differ]
+        lowest &= ~lowest + np.uint64(1)
+        out[open_[differ]] = np.minimum(k + (np.frexp(lowest.astype(np.float64))[1] - 1 >> 3), most)
+        equal = ~differ
+        open_, a, b = open_[equal], a[equal], b[equal]
     return out
 
 
@@ -80,16 +89,22 @@ def _scan(t, kind, buckets, queues, fixed, wanted, raw, most):
             made = left[ok]
             chars = t[made]
             order = np.argsort(chars, kind="stable")
-            chars = chars[order]
-            cuts = [0, *(np.flatnonzero(chars[1:] != chars[:-1]) + 1).tolist(), len(chars)]
-            for x, y in pairwise(cuts):
-                c, mine = int(chars[x]), order[x:y]
-                at = ok[mine]
-                values = np.minimum.reduceat(prefixes[: at[-1] + 1], np.append(0, at[:-1] + 1))
-                values[0] = min(values[0], since.get(c, -1))
-                queues.push(c, np.stack([made[mine], np.minimum(values + 1, most)]))
-                rest = prefixes[at[-1] + 1 :]
-                pushed.append((c, int(rest.min()) if len(rest) else most))
+            made, chars, at = made[order], chars[order], ok[order]
+            cuts = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
+            # for each, the prefixes since the last one of its character; behind each character, those after its last one
+            after = at + 1
+            begin = np.append(0, after[:-1])
+            begin[cuts] = 0
+            spare = np.append(prefixes, most)
+            values = np.minimum.reduceat(spare, np.stack([begin, after], 1).ravel())[::2]
+            ends = np.append(cuts[1:], len(chars))
+            rest = np.minimum.reduceat(spare, np.stack([after[ends - 1], np.full(len(ends), len(prefixes))], 1).ravel())[::2].tolist()
+            heads = chars[cuts].tolist()
+            values[cuts] = np.minimum(values[cuts], [since.get(c, -1) for c in heads])
+            rows = np.stack([made, np.minimum(values + 1, most)])
+            for c, x, y in zip(heads, cuts.tolist(), ends.tolist()):
+                queues.push(c, rows[:, x:y])
+            pushed = zip(heads, rest)
         for c, v in since.items():
             if low < v:
                 since[c] = low
@@ -121,49 +136,59 @@ def _kinds(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
 
 
-def order_names(t: list[int], size: int) -> list[int]:
-    """The suffix order of a string of names below `size`, by the same induction one suffix at a time.
+def _split(rank: np.ndarray, open_: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Order the members `open_` of whole groups of equal rank by a further key; those still equal to another, in order.
 
-    Names are many and queues short here, and a common prefix is not needed: plain lists serve. The last name is 0, the only one.
+    A rank is the number of smaller ones, so that a split leaves all ranks outside the group as they are.
     """
-    n = len(t)
-    kinds, stars = _kinds(np.array(t, np.int64))
-    if not len(stars):
-        return list(range(n - 1, -1, -1)) if n > 1 else [0]
-    kind, stars = kinds.tolist(), stars.tolist()
-    code = (np.array(t, np.int64) * 2 + kinds).astype(">u4").tobytes()
-    pieces = [code[4 * a : 4 * b] for a, b in zip(stars, [*[x + 1 for x in stars[1:]], n])]
-    names = {p: k for k, p in enumerate(sorted(set(pieces)))}
-    if len(names) == len(stars):
-        order = [k for _, k in sorted(zip(pieces, stars))]
+    base = rank[open_]
+    if len(key) and int(key.max()) < 1 << 31 and len(rank) < 1 << 31:
+        order = np.argsort(base << 31 | key)
     else:
-        order = [stars[k] for k in order_names([names[p] for p in pieces], len(names))]
-    del pieces, names, code
-    # the left neighbour and its name, where it belongs to the scan: looked up once for each suffix
-    left = [-1, *t[:-1]]
-    fall = [c if c >= 0 and not k else -1 for c, k in zip(left, [True, *kind[:-1]])]
-    rise = [c if k else -1 for c, k in zip(left, [False, *kind[:-1]])]
-    starting: list[list[int]] = [[] for _ in range(size)]
-    for k in order:
-        starting[t[k]].append(k)
-    falling: list[list[int]] = [[] for _ in range(size)]
-    for c in range(size):
-        for k in falling[c]:  # grows meanwhile
-            if (d := fall[k]) >= 0:
-                falling[d].append(k - 1)
-        for k in starting[c]:
-            if (d := fall[k]) >= 0:
-                falling[d].append(k - 1)
-    rising: list[list[int]] = [[] for _ in range(size)]
-    for c in range(size - 1, -1, -1):
-        for k in rising[c]:
-            if (d := rise[k]) >= 0:
-                rising[d].append(k - 1)
-        for k in reversed(falling[c]):
-            if (d := rise[k]) >= 0:
-                rising[d].append(k - 1)
-    rising[0] = [n - 1]
-    return [k for c in range(size) for part in (falling[c], reversed(rising[c])) for k in part]
+        order = np.lexsort((key, base))
+    open_, base, key = open_[order], base[order], key[order]
+    group = np.append(True, base[1:] != base[:-1])[: len(base)]
+    fresh = np.flatnonzero(group | np.append(True, key[1:] != key[:-1])[: len(base)])
+    group = np.flatnonzero(group)
+    size = np.diff(np.append(fresh, len(base)))
+    rank[open_] = np.repeat(base[fresh] + fresh - group[np.searchsorted(group, fresh, "right") - 1], size)
+    return open_[np.repeat(size > 1, size)]
+
+
+def order_stars(t: np.ndarray, kind: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    """The suffix order of the stars, as places in `stars`.
+
+    A piece goes from a star to the next one, which it includes. Pieces are ranked by their characters and kinds, a
+    machine word of them at a time; where ranks repeat, the string of ranks is in memory and small, and is ordered by
+    doubling (the ranks of h pieces and of the h after them are the rank of 2 h) in whole-array steps. The last piece
+    is the smallest and the only one of its kind, so that no two equal stretches reach the end.
+    """
+    code = t.astype(np.int64) * 2 + kind
+    size = np.append(stars[1:] + 1, len(t)) - stars
+    bits = int(code.max()).bit_length()
+    each = 62 // bits
+    rank, open_ = np.zeros(len(stars), np.int64), np.arange(len(stars))
+    same = []
+    at = 0
+    while len(open_):
+        begin, left = stars[open_] + at, size[open_] - at
+        word = np.zeros(len(open_), np.int64)
+        for k in range(each):
+            word <<= bits
+            word |= np.where(k < left, code[np.minimum(begin + k, len(t) - 1)], 0)
+        open_ = _split(rank, open_, word)
+        at += each
+        ended = size[open_] <= at  # equal ones have equal sizes: a piece that ended has a 0 where the other goes on
+        same.append(open_[ended])
+        open_ = open_[~ended]
+    open_ = np.concatenate(same)
+    h = 1
+    while len(open_):
+        open_ = _split(rank, open_, rank[open_ + h])
+        h *= 2
+    order = np.empty(len(stars), np.int64)
+    order[rank] = np.arange(len(stars))
+    return order
 
 
 def suffix_sort(t: np.ndarray, raw: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +200,8 @@ def suffix_sort(t: np.ndarray, raw: np.ndarray, most: int) -> tuple[np.ndarray,
     if n == 1:
         return np.zeros(1, np.int64), np.zeros(1, np.int64)
     kind, stars = _kinds(t)
-    code = (t.astype(np.int64) * 2 + kind).astype(">u4").tobytes()
-    ends = np.append(stars[1:] + 1, n).tolist()
-    pieces = [code[4 * a : 4 * b] for a, b in zip(stars.tolist(), ends)]
-    names = {p: k for k, p in enumerate(sorted(set(pieces)))}
-    reduced = np.array([names[p] for p in pieces], np.int64)
-    del pieces, code
-    order = np.argsort(reduced) if len(names) == len(reduced) else np.array(order_names(reduced.tolist(), len(names)))
+    raw = eights(raw)
+    order = order_stars(t, kind, stars)
     stars = stars[order]
     first = t[stars]
     shared = np.concatenate(([0], common_prefix(raw, stars[:-1], stars[1:], most)))

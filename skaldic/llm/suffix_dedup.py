@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,31 +58,62 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest else x
 
 
-def runs(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Anchor, first window, windows, and whether the anchor is near itself, for each run of a text; None if it is short."""
+def runs(text: bytes, size: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor, first window, windows, and whether the anchor is near itself in some text, for each run of the texts that stand end to end in `text`."""
     n = len(text)
     if n < WIDTH:
-        return None
+        return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     up, down = powers.get(n)
+    sums = np.zeros(n + 1, _U)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum((np.frombuffer(text, np.uint8).astype(_U) + _U(1)) * up[:n])))
-        h = (sums[KMER:] - sums[:-KMER]) * down[: n - KMER + 1]
+        np.cumsum(np.multiply(np.frombuffer(text, np.uint8), up[:n]), out=sums[1:])
+        h = sums[KMER:] - sums[:-KMER]
+        h *= down[: n - KMER + 1]
         h ^= h >> _U(29)
         h *= _U(0xBF58476D1CE4E5B9)
         h ^= h >> _U(32)
     width = WIDTH - KMER + 1
-    least = _slide(h, width, np.minimum)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    start, end = np.append(0, cut), np.append(cut, len(least))
+    begin = np.cumsum(size) - size
+    # windows that lie in one text; the others have no anchor
+    inside = np.ones(n + 1, bool)
+    for k in begin.tolist():
+        inside[max(k - WIDTH + 1, 0) : k] = False
+    inside = inside[: n - WIDTH + 1]
+    padded = np.zeros(len(h) + width - 1, _U)
+    least = padded[width - 1 : len(h)]
+    np.multiply(_slide(h, width, np.minimum), inside, out=least)
+    cut = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])))
+    count = np.diff(np.append(cut, len(least)))
+    start, count = cut[inside[cut]], count[inside[cut]]
+    of = np.searchsorted(begin, start, "right") - 1
+    anchor, start = least[start], start - begin[of]
     # a place holds its windows' anchor if the largest least of those windows is its own hash
-    padded = np.concatenate((np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)))
     places = np.flatnonzero(h == _slide(padded, width, np.maximum))
-    twice = h[places[:-1]][h[places[1:]] == h[places[:-1]]]
-    if (end - start > LONGEST).any():
-        parts = [(s, min(s + LONGEST, e)) for a, e in zip(start.tolist(), end.tolist()) for s in range(a, e, LONGEST)]
-        start, end = (np.array(x) for x in zip(*parts))
-    anchor = least[start]
-    return anchor, start, end - start, np.isin(anchor, twice) if len(twice) else np.zeros(len(anchor), bool)
+    within, key = np.searchsorted(begin, places, "right"), h[places]
+    twice = key[1:][(key[1:] == key[:-1]) & (within[1:] == within[:-1])]
+    if (count > LONGEST).any():
+        parts = -(-count // LONGEST)
+        of, anchor, whole = (np.repeat(x, parts) for x in (of, anchor, start + count))
+        start = np.repeat(start, parts) + LONGEST * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+        count = np.minimum(whole - start, LONGEST)
+    return of, anchor, start, count, np.isin(anchor, twice) if len(twice) else np.zeros(len(anchor), bool)
+
+
+#: Bytes of texts that are hashed in one go; a longer text is alone.
+TOGETHER = 1 << 15
+
+
+def _together(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """First and end of stretches of texts of about TOGETHER bytes."""
+    at = total = 0
+    for k, text in enumerate(texts):
+        more = len(text or b"")
+        if k > at and total + more > TOGETHER:
+            yield at, k
+            at, total = k, 0
+        total += more
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def _rows(whole: bool):
@@ -89,22 +122,18 @@ def _rows(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                part = batch.slice(at, 100)
-                docs, ths, cols = [], [], []
-                for doc, th, text in zip(*(c.to_pylist() for c in part.columns)):
-                    if text and (found := runs(text, powers)) is not None:
-                        anchor, start, n, own = found
-                        strings = [xxhash.xxh3_64_intdigest(text[s:e]) for s, e in zip(start.tolist(), (start + n + WIDTH - 1).tolist())] if whole else []
-                        docs += [doc] * len(start)
-                        ths += [th] * len(start)
-                        cols.append((anchor, own, start, n, np.array(strings, _U)))
-                if not cols:
+            doc, th, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for a, b in _together(texts):
+                some = [text or b"" for text in texts[a:b]]
+                size = np.array([len(text) for text in some])
+                of, anchor, start, n, own = runs(b"".join(some), size, powers)
+                if not len(of):
                     continue
-                anchor, own, start, n, strings = (np.concatenate(c) for c in zip(*cols))
                 out = {"anchor": pa.array(anchor.view(np.int64)), "own": pa.array(own)}
                 if whole:
-                    out = {"doc": pa.array(docs, pa.int64()), "th": pa.array(ths, pa.int64()), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "string": pa.array(strings.view(np.int64))} | out
+                    strings = [xxhash.xxh3_64_intdigest(some[k][s:e]) for k, s, e in zip(of.tolist(), start.tolist(), (start + n + WIDTH - 1).tolist())]
+                    strings = np.array(strings, _U).view(np.int64)
+                    out = {"doc": pa.array(doc[a:b][of]), "th": pa.array(th[a:b][of]), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "string": pa.array(strings)} | out
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -114,13 +143,19 @@ ROW = "doc long, th long, start int, n int, string long, anchor long, own boolea
 
 
 def _cut_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the listed runs of each text."""
+    """Bytes of the listed runs of each text. Equal rows of a batch go in once; copies that are left share their places, which is no repeat."""
     for batch in batches:
-        for doc, th, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            rows = [(doc, th, w["start"], w["n"], w["anchor"], w["crowded"], text[w["start"] : w["start"] + w["n"] + WIDTH - 1]) for w in wanted]
-            cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "th", "start", "n", "anchor", "crowded", "bytes"])
+        seen: dict[tuple, int] = {}
+        for k, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            seen.setdefault(row, k)
+        if len(seen) < len(batch):
+            batch = batch.take(pa.array(list(seen.values())))
+        for at in range(0, len(batch), 500):
+            doc, th, text, wanted = batch.slice(at, 500).columns
+            of, listed, text = pc.list_parent_indices(wanted), wanted.flatten(), text.to_pylist()
+            start, n, anchor, crowded = (listed.field(k) for k in ("start", "n", "anchor", "crowded"))
+            cut = [text[k][s : s + m + WIDTH - 1] for k, s, m in zip(of.to_pylist(), start.to_pylist(), n.to_pylist())]
+            yield pa.RecordBatch.from_arrays([doc.take(of), th.take(of), start, n, anchor, crowded, pa.array(cut, pa.binary())], ["doc", "th", "start", "n", "anchor", "crowded", "bytes"])
 
 
 STRING = "doc long, th long, start int, n int, anchor long, crowded boolean, bytes binary"
@@ -134,17 +169,22 @@ def repeated_windows(doc: np.ndarray, th: np.ndarray, start: np.ndarray, strings
     sa, lcp = suffix_sort(np.append(raw[: len(text)].astype(np.uint16) + 1, 0), raw, WIDTH)
     size = np.array([len(s) for s in strings])
     begin = np.cumsum(size + 1) - size - 1
-    owner = np.searchsorted(begin, sa, "right") - 1
-    inside = sa - begin[owner]
-    # windows only; a group is a window and all neighbours that share WIDTH bytes with it
+    # by position in the text: whether a window starts there, and its place in the order of documents (copies share theirs)
+    window = np.repeat(np.tile([True, False], len(size)), np.stack([size - WIDTH + 1, np.full(len(size), WIDTH)], 1).ravel())
+    order = np.lexsort((start, th, doc))
+    fresh = np.zeros(len(order), bool)
+    fresh[1:] = (doc[order][1:] != doc[order][:-1]) | (th[order][1:] != th[order][:-1]) | (start[order][1:] != start[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh) * (size.max() + 1)
+    place = np.repeat(rank - begin, size + 1) + np.arange(len(window))
+    # a group is a window and all neighbours that share WIDTH bytes with it
     group = np.cumsum(lcp < WIDTH)
-    ok = inside + WIDTH <= size[owner]
-    group, owner, inside = group[ok], owner[ok], inside[ok]
-    place = np.empty(len(group), np.int64)
-    place[np.lexsort((start[owner] + inside, th[owner], doc[owner]))] = np.arange(len(group))
-    heads = np.append(0, np.flatnonzero(group[1:] != group[:-1]) + 1)
-    first = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(group)))) if len(group) else place
-    late = np.sort(begin[owner[place != first]] + inside[place != first])
+    ok = window[sa]
+    group, sa = group[ok], sa[ok]
+    place = place[sa]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    first = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(group))))
+    late = np.sort(sa[place != first])
     if not len(late):
         return late, late, late
     fresh = np.append(0, np.flatnonzero(np.diff(late) != 1) + 1)
@@ -194,7 +234,7 @@ def intervals(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("o")).where("k > 1 or o").select(F.col("anchor").alias("a"), (F.col("k") > crowd).alias("crowded"))
     wanted = firsts.join(shared, F.col("anchor") == F.col("a")).groupBy(F.col("first.doc").alias("d"), F.col("first.th").alias("t"))
     wanted = wanted.agg(F.collect_list(F.struct(F.col("first.start").alias("start"), F.col("first.n").alias("n"), "anchor", "crowded")).alias("wanted"))
-    strings = materialize(texts.join(wanted, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "wanted").mapInArrow(_cut_strings, STRING).dropDuplicates(["doc", "th", "start"]), "bytes")
+    strings = materialize(texts.join(wanted, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "wanted").mapInArrow(_cut_strings, STRING), "bytes")
     total = strings.where("not crowded").agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     sorted_ = strings.where("not crowded").repartition(1 + total // SHARD, "anchor").mapInArrow(_sort_shard, INTERVAL)
     windows = materialize(strings.where("crowded").mapInArrow(_hash_windows, "doc long, th long, start int, key binary"), "windows")
@@ -203,33 +243,38 @@ def intervals(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     return later.unionByName(sorted_).unionByName(hashed)
 
 
-def _spans(found: list) -> list[tuple[int, int]]:
-    """Maximal byte ranges that the windows cover."""
-    out: list[list[int]] = []
-    for start, n in sorted((w["start"], w["n"]) for w in found or ()):
-        end = start + n + WIDTH - 1
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def _spans(of: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte and end of the maximal byte ranges that the windows of each text cover, in order."""
+    if not len(of):
+        return of, start, n
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], (start + n + WIDTH - 1)[order]
+    far = np.maximum.accumulate(of * (1 << 32) + end)  # a text's ends exceed all of the texts before
+    fresh = np.flatnonzero(np.append(True, of[1:] * (1 << 32) + start[1:] > far[:-1]))
+    return of[fresh], start[fresh], far[np.append(fresh[1:], len(of)) - 1] - of[fresh] * (1 << 32)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text = text or b""
-            spans = _spans(found)
+        texts, found = batch.column(1).to_pylist(), batch.column(2)
+        listed = found.flatten()
+        of, start, end = _spans(pc.list_parent_indices(found).to_numpy().astype(np.int64), *(listed.field(k).to_numpy().astype(np.int64) for k in ("start", "n")))
+        count = np.bincount(of, minlength=len(texts))
+        offsets = np.append(0, np.cumsum(count))
+        gone = np.append(0, np.cumsum(end - start))[offsets]
+        digests = []
+        first, last = start.tolist(), end.tolist()
+        for k, (x, y) in enumerate(pairwise(offsets.tolist())):
+            text = texts[k] or b""
             kept, at = hashlib.sha256(), 0
-            for a, b in spans:
-                kept.update(text[at:a])
-                at = b
+            for j in range(x, y):
+                kept.update(text[at : first[j]])
+                at = last[j]
             kept.update(text[at:])
-            rows.append((len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [x for s in spans for x in s]))
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            digests.append(kept.hexdigest())
+        spans = pa.ListArray.from_arrays((2 * offsets).astype(np.int32), np.stack([start, end], 1).ravel().astype(np.int32))
+        cols = [batch.column(0), pa.array([len(text or b"") for text in texts], pa.int64()), pa.array(np.diff(gone)), pa.array(count.astype(np.int64)), pa.array(digests, pa.string()), spans]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
