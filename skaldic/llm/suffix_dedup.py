@@ -243,6 +243,11 @@ def intervals(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     return later.unionByName(sorted_).unionByName(hashed)
 
 
+def listed(texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(d, t, found) by document: its intervals, each once, as all copies of an equal row find the same ones."""
+    return intervals(texts, crowd).groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("found"))
+
+
 def _spans(of: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first byte and end of the maximal byte ranges that the windows of each text cover, in order."""
     if not len(of):
@@ -285,6 +290,6 @@ def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     not the text are ordered by a hash of the text. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    found = intervals(texts.select("doc", "th", "text"), crowd).groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    found = listed(texts.select("doc", "th", "text"), crowd)
     joined = texts.join(found, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select(F.col("doc_id").cast("long"), "text", "found")
     return joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")

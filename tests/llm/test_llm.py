@@ -323,6 +323,13 @@ def test_suffix_copies_share_a_place():
     assert owner.tolist() == [0, 1] and at.tolist() == [20, 20] and n.tolist() == [81, 81]
 
 
+def test_suffix_equal_rows_list_an_interval_once(spark):
+    text = bytearray(prose(6, 90).encode())
+    found = suffix_dedup.listed(spark.createDataFrame([(1, 1, text)] + [(2, 1, text)] * 40, "doc long, th long, text binary")).collect()
+    assert [r.d for r in found] == [2]
+    assert len(found[0].found) == len({(w.start, w.n) for w in found[0].found}) < 40
+
+
 def test_suffix_dedup_odd_rows(spark, odd):
     found = suffix_dedup.dedup(odd).collect()
     assert len(found) == odd.count()
